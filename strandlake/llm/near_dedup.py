@@ -15,9 +15,9 @@ signatures are exact.
 
 Signatures are cut into bands. Documents that share a band are candidates and
 are verified on whole shingle multisets. In each bucket every member is first
-compared with the smallest and the largest one; what then is still in
-different components of one bucket is compared pairwise, so a bucket of copies costs
-its size, not its square, and no link is lost.
+compared with the smallest and the largest one, so a bucket of copies costs its
+size, not its square. Members of buckets that are then still in different
+components go through an exact prefix-filtered set join, so no link is lost.
 """
 
 from __future__ import annotations
@@ -118,6 +118,40 @@ def _bag_batches(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, n), lists], names=["node", "bag"])
 
 
+def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose multisets reach the threshold."""
+    left = bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
+    right = bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
+    shared = F.size(F.array_intersect("bag_a", "bag_b"))
+    joined = pairs.join(left, "b").join(right, "a")
+    return joined.where(shared >= F.lit(threshold) * (F.size("bag_a") + F.size("bag_b") - shared) - F.lit(1e-9)).select("a", "b")
+
+
+def _prefix_pairs(rest: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different roots that can reach the threshold, by prefix, length and positional filters.
+
+    Elements are ordered from rare to common. Of two multisets that reach it, the shorter one's first
+    n - ceil(2t/(1+t) n) + 1 elements and the longer one's first n - ceil(t n) + 1 meet, and where they first
+    meet enough elements follow in both. Near copies with many own edits begin with elements nobody shares.
+    """
+    elements = rest.select("node", "root", F.size("bag").alias("n"), F.explode("bag").alias("element"))
+    often = elements.groupBy("element").agg(F.count(F.lit(1)).alias("often"))
+    ranked = elements.join(often, "element").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("order"))
+    reach = lambda share: F.col("n") - F.ceil(F.lit(share) * F.col("n") - F.lit(1e-9)) + 1
+    heads = ranked.select("node", "root", "n", F.slice("order", F.lit(1), reach(threshold).cast("int")).alias("order"))
+    posts = heads.select("node", "root", "n", F.posexplode("order")).where("col.often > 1")
+    posts = posts.select(F.col("col.element").alias("element"), (F.col("pos") + 1).alias("pos"), "node", "root", "n")
+    posts = materialise(posts, "prefixes")
+    one, two = (posts.select("element", *[F.col(c).alias(f"{c}_{side}") for c in ("pos", "node", "root", "n")]) for side in "xy")
+    one = one.where(F.col("pos_x") <= F.col("n_x") - F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("n_x") - F.lit(1e-9)) + 1)
+    longer = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
+    follow = 1 + F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
+    needed = F.lit(threshold / (1 + threshold)) * (F.col("n_x") + F.col("n_y")) - F.lit(1e-6)
+    met = one.join(two, "element").where(longer & (F.col("root_x") != F.col("root_y")))
+    met = met.where((F.col("n_x") >= F.lit(threshold) * F.col("n_y") - F.lit(1e-6)) & (follow >= needed))
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
 def near_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -159,37 +193,24 @@ def near_groups(
     ).where("n > 1 and head < tail").drop("n")
     held = materialise(entries.join(heads, "bucket").select("bucket", "node", "weight", "head", "tail"), "buckets")
 
-    def verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
-        left = bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b"))
-        right = bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a"))
-        shared = F.size(F.array_intersect("bag_a", "bag_b"))
-        joined = pairs.join(left, "b").where(F.size("bag_b") > 0).join(right, "a")
-        return joined.where(shared >= F.lit(threshold) * (F.size("bag_a") + F.size("bag_b") - shared)).select("a", "b")
-
-    def bags_of(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("node"), text.alias("text"))
-        texts = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
-        return materialise(texts.mapInArrow(lambda batches: _bag_batches(batches, shingle), "node long, bag array<long>"), name)
-
     stars = held.select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(
         held.select(F.col("node").alias("a"), F.col("tail").alias("b"))
     )
     stars = materialise(stars.where("a < b").distinct(), "star-pairs")
-    links = materialise(verified(stars, bags_of(stars, "bags")), "star-links")
+    wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("node"), text.alias("text"))
+    texts = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    bags = materialise(texts.mapInArrow(lambda batches: _bag_batches(batches, shingle), "node long, bag array<long>"), "bags")
+    links = materialise(_verified(stars, bags, threshold), "star-links")
     grouped = components(links)
 
-    # Members of one bucket that stars left in different components: all such pairs, each verified once.
-    placed = held.select("bucket", "node", "weight").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Buckets that stars left in different components: an exact prefix join of their members finds what links them.
+    placed = held.select("bucket", "node").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    rest = placed.join(split, "bucket")
-    one, two = (rest.select("bucket", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "weight")]) for side in "ab")
-    close = F.least("weight_a", "weight_b") >= F.lit(threshold) * F.greatest("weight_a", "weight_b")
-    pairs = one.join(two, "bucket").where(F.col("node_a") < F.col("node_b")).where(F.col("root_a") != F.col("root_b")).where(close)
-    pairs = pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    pairs = materialise(pairs, "rest-pairs")
+    rest = placed.join(split, "bucket").select("node", "root").distinct()
+    pairs = materialise(_prefix_pairs(rest.join(bags, "node"), threshold).join(stars, ["a", "b"], "left_anti"), "rest-pairs")
     if not pairs.isEmpty():
-        grouped = components(links.unionByName(verified(pairs, bags_of(pairs, "rest-bags"))))
+        grouped = components(links.unionByName(_verified(pairs, bags, threshold)))
 
     roots = members.join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
     roots = roots.select("node", "rep", F.coalesce("root", "rep").alias("root"))
