@@ -5,13 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, near_dedup
+from . import decontaminate, exact_dedup, language, mixing, near_dedup
+from .common import crc_bucket
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id",
+        F.col("mix_topic").alias("topic"),
+        F.col("mix_tokens").alias("tokens"),
+        F.round("mix_factor", 6).alias("factor"),
+        F.round("mix_prob", 6).alias("prob"),
+        "sampled",
+    )
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.detect(docs, language.train(docs, held_out=language.held_out()))
+    return found.select("doc_id", (crc_bucket(4) == 2).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -21,11 +44,16 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_mixing": op4_mixing,
+    "op6_decontamination": op6_decontamination,
+    "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLE_SQL = {
+    "op4_mixing": mixing.oracle_sql(),
+    "op6_decontamination": decontaminate.oracle_sql(),
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
