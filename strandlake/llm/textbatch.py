@@ -20,7 +20,15 @@ IS_WORD[0x00:0x30] = IS_WORD[0x3A:0x61] = IS_WORD[0x7B:0x80] = False
 BASE, GOLDEN = 0x9E3779B97F4A7C15, 0x9E3779B97F4A7C15
 BLOCK_BYTES = 1 << 21
 
-_powers: dict[str, np.ndarray] = {}
+
+class _Cache(dict):
+    """Stays where it is: pickled as empty."""
+
+    def __reduce__(self) -> tuple:
+        return _Cache, ()
+
+
+_powers = _Cache()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
