@@ -14,6 +14,11 @@ def reverse_complement(seq: Column) -> Column:
     return F.reverse(F.translate(seq, "ACGTacgt", "TGCAtgca"))
 
 
+def valid_symbols(seq: Column, symbols: str = "ACGTacgt") -> Column:
+    """Whether nothing but ``symbols`` stands in the sequence."""
+    return seq.rlike(f"^[{symbols}]*\\z")
+
+
 def cigar_ops(cigar: Column) -> Column:
     """array<struct<n:int, op:string>>."""
     numbers = F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+)(\D)"), F.lit(1)), lambda n: n.cast("int"))

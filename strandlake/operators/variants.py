@@ -73,8 +73,8 @@ def split_mnp(df: DataFrame) -> DataFrame:
     base = F.substr("ref", F.col("_k"), F.lit(1))
     alleles = F.concat(F.array(base), F.transform("alt", lambda a: F.substr(a, F.col("_k"), F.lit(1))))
     each = each.withColumn("_all", alleles).withColumn("_distinct", F.array_distinct("_all")).where(F.size("_distinct") > 1)
-    mark = F.when(F.contains("gt", F.lit("|")), "|").otherwise("/")
-    gt = F.array_join(F.transform(F.split("gt", r"[/|]"), lambda c: (F.array_position("_distinct", F.get("_all", c.cast("int"))) - 1).cast("string")), mark)
+    calls = F.transform(F.split("gt", r"[/|]"), lambda c: (F.array_position("_distinct", F.get("_all", c.cast("int"))) - 1).cast("string"))
+    gt = F.when(F.contains("gt", F.lit("|")), F.array_join(calls, "|")).otherwise(F.array_join(calls, "/"))
     others = [c for c in df.columns if c not in ("pos", "ref", "alt", "gt")]
     return each.select(*others, (F.col("pos") + F.col("_k") - 1).alias("pos"), base.alias("ref"), F.slice("_distinct", 2, 1000).alias("alt"), gt.alias("gt"))
 

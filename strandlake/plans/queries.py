@@ -1,7 +1,10 @@
-"""Named queries over the driver's tables, and their SQL."""
+"""All queries of the engine over the driver's tables, and their SQL."""
 
 from __future__ import annotations
 
-FLAGSHIP = "agg1_pileup_counts"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import interval_queries, island_queries, pileup_queries, text_queries  # noqa: F401
+from .registry import ORACLE_SQL, QUERIES
+
+FLAGSHIP = "agg26_majority_consensus"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

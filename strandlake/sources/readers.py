@@ -59,16 +59,20 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """name, comment, seq, qual of four-line records. Line numbers within a file come from Spark's order of one whole file a task."""
-    rows = spark.read.option("wholetext", "true").text(path).select(F.split(F.rtrim("value"), "\n").alias("lines"))
-    n = F.floor(F.size("lines") / 4)
-    at = rows.where(n > 0).withColumn("k", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))))
-    line = lambda k: F.get("lines", F.col("k") * 4 + k)
-    return at.select(
-        F.regexp_extract(line(0), r"^@(\S+)", 1).alias("name"),
-        F.regexp_extract(line(0), r"^@\S+\s+(.*)$", 1).alias("comment"),
-        line(1).alias("seq"),
-        line(3).alias("qual"),
+    """name, comment, seq, qual of four-line records. Files are split at lines that begin with ``@``.
+
+    Qualities may begin with ``@`` too; such a record comes in two pieces, which are put together by their order in the file.
+    """
+    place = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    pieces = spark.read.option("lineSep", "\n@").text(path).select("value", *place)
+    pieces = pieces.select(F.split(F.regexp_replace(F.regexp_replace("value", r"\n$", ""), "^@", ""), "\n").alias("lines"), "file", "block", "n")
+    line = lambda k: F.get("lines", F.lit(k))
+    whole = pieces.where(F.size("lines") == 4).select(line(0).alias("head"), line(1).alias("seq"), line(3).alias("qual"))
+    w = W.partitionBy("file").orderBy("block", "n")
+    torn = pieces.where(F.size("lines") < 4).withColumn("_rest", F.lead(line(0)).over(w)).where(F.size("lines") == 3)
+    torn = torn.select(line(0).alias("head"), line(1).alias("seq"), F.concat(F.lit("@"), "_rest").alias("qual"))
+    return whole.unionByName(torn).select(
+        F.regexp_extract("head", r"^(\S+)", 1).alias("name"), F.regexp_extract("head", r"^\S+\s+(.*)$", 1).alias("comment"), "seq", "qual"
     )
 
 
@@ -102,7 +106,7 @@ def vcf_header(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).where(F.col("value").startswith("##"))
     take = lambda k: F.nullif(F.regexp_extract("value", k + r"=([^,>\"]+|\"[^\"]*\")", 1), F.lit(""))
     rows = rows.withColumn("kind", F.regexp_extract("value", "^##(INFO|FILTER|FORMAT)=<", 1)).where("kind != ''")
-    return rows.select("kind", take("ID").alias("id"), take("Number").alias("number"), take("Type").alias("type"), F.trim(F.lit('"'), take("Description")).alias("description"))
+    return rows.select("kind", take("ID").alias("id"), take("Number").alias("number"), take("Type").alias("type"), F.trim(take("Description"), F.lit('"')).alias("description"))
 
 
 def unsorted_records(variants: DataFrame, order: str) -> DataFrame:

@@ -25,7 +25,7 @@ def vcf_lines(df: DataFrame) -> DataFrame:
         F.coalesce("id", F.lit(".")),
         "ref",
         F.coalesce(F.nullif(F.array_join("alt", ","), F.lit("")), F.lit(".")),
-        F.coalesce(F.format_string("%.3f", F.col("qual")), F.lit(".")),
+        F.when(F.col("qual").isNull(), ".").otherwise(F.format_string("%.3f", F.col("qual"))),
         F.coalesce(F.nullif(F.array_join("filter", ";"), F.lit("")), F.lit(".")),
         info_to_string(F.col("info")),
         F.when(kept, F.array_join(F.transform(pairs, lambda p: p["k"]), ":")),
