@@ -23,27 +23,31 @@ MIN_REST = 8
 VARIABLE = r"\S*(?:[0-9@]|://)\S*"
 
 
-def _keys(words: Column, n: Column) -> Column:
-    """Hashes of the templates a line belongs to."""
-    lead, rest = F.slice(words, 1, LEAD), n - LEAD
-    keys = [F.xxhash64(F.lit(-1), n, words)]
-    for q in range(QUARTERS):
-        begin = F.floor(rest * q / QUARTERS).cast("int")
-        end = F.floor(rest * (q + 1) / QUARTERS).cast("int")
-        kept = F.xxhash64(F.lit(q), n, lead, F.slice(words, LEAD + 1, begin), F.slice(words, end + LEAD + 1, rest - end))
-        keys.append(F.when(rest >= MIN_REST, kept))
-    return F.array_compact(F.array(*keys))
+def _hashed_parts(words: str) -> list[Column]:
+    """Hashes of the leading words and of each quarter of the rest, so that every word is hashed once."""
+    rest = F.size(words) - LEAD
+    bounds = [F.floor(rest * q / QUARTERS).cast("int") for q in range(QUARTERS + 1)]
+    quarters = [F.xxhash64(F.slice(words, bounds[q] + LEAD + 1, bounds[q + 1] - bounds[q])).alias(f"q{q}") for q in range(QUARTERS)]
+    return [F.size(words).alias("n"), F.xxhash64(F.slice(words, 1, LEAD)).alias("lead"), *quarters]
+
+
+def _keys() -> Column:
+    """Hashes of the templates a line belongs to: with all its words, and with each quarter left variable."""
+    quarters = [f"q{q}" for q in range(QUARTERS)]
+    open_keys = [F.xxhash64(F.lit(q), "n", "lead", *[x for x in quarters if x != f"q{q}"]) for q in range(QUARTERS)]
+    whole = F.xxhash64(F.lit(-1), "n", "lead", *quarters)
+    return F.when(F.col("n") - LEAD >= MIN_REST, F.array(whole, *open_keys)).otherwise(F.array(whole))
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(row, dropped): for each document that loses lines, the numbers, from 0, of those lines. Row: see ``_row``."""
     lines = docs.select(_row(id_col, text_col).alias("row"), F.posexplode(F.split(text_or_empty(text_col), "\n")).alias("line_no", "line"))
-    line = F.trim(F.regexp_replace("line", r"\s+", " "))
+    line = F.trim("line")
     line = F.when(line.rlike(r"[0-9@]|://"), F.regexp_replace(line, VARIABLE, WILD)).otherwise(line)
-    lines = lines.select("row", "line_no", F.split(line, " ").alias("words"))
-    n = F.size("words")
-    lines = lines.where((n >= MIN_WORDS) & (F.size(F.array_remove("words", WILD)) > 0))
-    keys = materialise(lines.select("row", "line_no", F.explode(_keys(F.col("words"), n)).alias("key")), "line-keys")
+    lines = lines.select("row", "line_no", F.array_remove(F.split(line, r"\s+"), "").alias("words"))
+    constant = ~F.array_contains("words", WILD) | (F.size(F.array_remove("words", WILD)) > 0)
+    lines = lines.where((F.size("words") >= MIN_WORDS) & constant).select("row", "line_no", *_hashed_parts("words"))
+    keys = materialise(lines.select("row", "line_no", F.explode(_keys()).alias("key")), "line-keys")
     spread = keys.groupBy("key", "row").agg(F.count(F.lit(1)).alias("n"))
     often = spread.groupBy("key").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") >= min_docs).select("key")
     return keys.join(often, "key", "left_semi").groupBy("row").agg(F.collect_set("line_no").alias("dropped"))
