@@ -154,3 +154,42 @@ def apply_edits(seq: Column, edits: Column) -> Column:
         ),
     )
     return F.concat(done["out"], F.substr(seq, (done["at"] + 1).cast("int"), F.length(seq)))
+
+
+def run_of(position: Column, seq: Column) -> Column:
+    """The run, from 0, of a homopolymer-compressed sequence that holds a position, from 0, of the full one."""
+    head = F.substr(seq, F.lit(1), (position + 1).cast("int"))
+    return F.size(homopolymer_runs(head)) - 1
+
+
+def run_starts(seq: Column) -> Column:
+    """array<int>: where, from 0, each run begins in the full sequence."""
+    empty = F.array().cast("array<int>")
+    done = F.aggregate(
+        homopolymer_runs(seq),
+        F.struct(empty.alias("out"), F.lit(0).alias("at")),
+        lambda s, run: F.struct(F.concat(s["out"], F.array(s["at"])).alias("out"), (s["at"] + F.length(run)).alias("at")),
+    )
+    return done["out"]
+
+
+#: Fields of a record name, in order.
+RECORD_FIELDS = ("query_name", "ref_name", "ref_start", "ref_end", "padded_start", "padded_end", "strand", "hap", "phased_set", "ploidy")
+
+
+def record_name(*fields: Column) -> Column:
+    """Ten fields joined by underscores; the query name may hold underscores itself."""
+    if len(fields) != len(RECORD_FIELDS):
+        raise ValueError(f"a record name has {len(RECORD_FIELDS)} fields")
+    return F.concat_ws("_", *[f.cast("string") for f in fields])
+
+
+def record_name_parse(name: Column) -> Column:
+    pattern = "^(.*)" + "_([^_]*)" * (len(RECORD_FIELDS) - 1) + "$"
+    whole = ("ref_start", "ref_end", "padded_start", "padded_end", "hap", "phased_set", "ploidy")
+    parts = [(F.regexp_extract(name, pattern, k + 1), f) for k, f in enumerate(RECORD_FIELDS)]
+    return F.struct(*[(c.cast("long") if f in whole else c).alias(f) for c, f in parts])
+
+
+def pad_array(values: Column, size: int, fill: Column) -> Column:
+    return F.concat(values, F.array_repeat(fill, F.greatest(F.lit(0), F.lit(size) - F.size(values))))

@@ -26,13 +26,6 @@ def counts(obs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     return obs.groupBy(*POSITION, *by).agg(*sums)
 
 
-def missing_deletions(pile: DataFrame, spans: DataFrame) -> DataFrame:
-    """Not at every insertion column does every read have a base: how many reads span it but have none there (n_absent)."""
-    major = W.partitionBy("ref_name", "major").orderBy("minor")
-    total = sum((F.col(c) for c in COUNTS), F.lit(0))
-    return pile.withColumn("n_absent", F.first(total).over(major) - total)
-
-
 def depth(pile: DataFrame, columns: tuple[str, ...] = COUNTS, name: str = "depth") -> DataFrame:
     """The sum of counts at the position's first column, which insertion columns inherit."""
     major = W.partitionBy("ref_name", "major").orderBy("minor")

@@ -214,3 +214,55 @@ def annotate_depth(df: DataFrame, pile: DataFrame) -> DataFrame:
     joined = df.join(at, ["chrom", "pos"], "left")
     filled = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("dp_fwd", "dp_rev")}
     return joined.withColumns(filled).withColumn("dp", F.col("dp_fwd") + F.col("dp_rev"))
+
+
+def genotype_alleles(ref: Column, alts: Column, gt: Column) -> Column:
+    """struct<phased, alleles>: the sequences that a genotype names, null where it is ``.``."""
+    every = F.concat(F.array(ref), alts)
+    return F.struct(F.contains(gt, F.lit("|")).alias("phased"), F.transform(F.split(gt, r"[/|]"), lambda c: F.get(every, c.try_cast("int"))).alias("alleles"))
+
+
+def diploid_calls(df: DataFrame, classes: list[str]) -> DataFrame:
+    """SNPs at reference columns from probabilities of unordered symbol pairs: gt and qual of the likeliest pair, records with a gap left out."""
+    from .consensus import argmax
+
+    best = argmax(F.col("probs"))
+    rows = df.where(F.col("minor") == 0).withColumn("_pair", F.get(F.array(*map(F.lit, classes)), best)).where(~F.contains("_pair", F.lit("*")))
+    sym = lambda k: F.substr("_pair", F.lit(k), F.lit(1))
+    ref = F.col("ref_symbol")
+    alts = F.array_distinct(F.filter(F.array(sym(1), sym(2)), lambda a: a != ref))
+    hets = F.when(F.size(alts) == 0, "0/0").when(F.size(alts) == 2, "1/2").when((sym(1) == ref) | (sym(2) == ref), "0/1").otherwise("1/1")
+    return rows.select("ref_name", F.col("major").alias("pos"), ref.alias("ref"), alts.alias("alt"), hets.alias("gt"), phred(1 - F.array_max("probs")).alias("qual"))
+
+
+def from_observations(obs: DataFrame, reference: DataFrame) -> DataFrame:
+    """Variants of aligned reads against the reference (ref_name, seq): runs of differing columns with the matching base before them, by read."""
+    joined = obs.join(reference.select("ref_name", F.col("seq").alias("_seq")), "ref_name")
+    base = F.when(F.col("minor") == 0, F.substr("_seq", (F.col("major") + 1).cast("int"), F.lit(1))).otherwise("*")
+    rows = joined.withColumn("ref_symbol", F.upper(base)).drop("_seq").withColumn("_differs", F.col("symbol") != F.col("ref_symbol"))
+    w = W.partitionBy("ref_name", "qname").orderBy("major", "minor")
+    rows = rows.withColumn("_was", F.lag("_differs").over(w)).withColumn("_before", F.lag(F.struct("major", "ref_symbol")).over(w))
+    runs = islands.islands(rows, ["ref_name", "qname"], ["major", "minor"], F.col("_was").isNull() | (F.col("_was") != F.col("_differs")), "run").where("_differs")
+    parts = F.array_sort(F.collect_list(F.struct("major", "minor", "ref_symbol", "symbol", "_before")))
+    grouped = runs.groupBy("ref_name", "qname", "run").agg(parts.alias("_p"))
+    text = lambda f: F.replace(F.array_join(F.transform("_p", lambda p: p[f]), ""), F.lit("*"), F.lit(""))
+    before = F.element_at("_p", 1)["_before"]
+    first = F.element_at("_p", 1)
+    lead = (F.length(text("ref_symbol")) != F.length(text("symbol"))) & before.isNotNull()
+    return grouped.select(
+        "ref_name",
+        "qname",
+        F.when(lead, before["major"]).otherwise(first["major"]).alias("pos"),
+        F.concat(F.when(lead, before["ref_symbol"]).otherwise(""), text("ref_symbol")).alias("ref"),
+        F.concat(F.when(lead, before["ref_symbol"]).otherwise(""), text("symbol")).alias("alt"),
+    )
+
+
+def at_known_loci(df: DataFrame, loci: DataFrame) -> DataFrame:
+    """Records at (chrom, pos) of ``loci``."""
+    return df.join(loci.select("chrom", "pos").distinct(), ["chrom", "pos"], "left_semi")
+
+
+def info_table(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Records as plain columns: one per INFO key, null where a record lacks it."""
+    return df.select("chrom", (F.col("pos") + 1).alias("pos"), "id", "ref", F.array_join("alt", ",").alias("alt"), "qual", F.array_join("filter", ";").alias("filter"), *[F.col("info")[k].alias(k) for k in keys])

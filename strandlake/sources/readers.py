@@ -143,3 +143,38 @@ def chunk_store(spark: SparkSession, path: str, regions: DataFrame | None = None
     spans = columns.groupBy("ref_name", "sample_id").agg(F.min("major").alias("start"), (F.max("major") + 1).alias("end"))
     wanted = overlap_semi(spans, regions, ["ref_name"], width).select("ref_name", "sample_id")
     return columns.join(wanted, ["ref_name", "sample_id"], "left_semi")
+
+
+def check_read_group(groups: DataFrame, wanted: str | None) -> None:
+    """Several read groups need one to be named, and a named one must be there."""
+    if wanted is None:
+        if groups.select("read_group").distinct().limit(2).count() > 1:
+            raise ValueError("there are several read groups: name one")
+    elif groups.where(F.col("read_group") == wanted).isEmpty():
+        raise ValueError(f"no read group {wanted!r}")
+
+
+def basecallers(groups: DataFrame) -> DataFrame:
+    """Distinct basecaller models named in read-group descriptions."""
+    return groups.select(F.regexp_extract("description", r"basecall_model=(\S+)", 1).alias("model")).where("model <> ''").distinct()
+
+
+def without_shorter_names(names: DataFrame, column: str = "model") -> DataFrame:
+    """Names less those that are part of a longer one with a version (``@``)."""
+    longer = names.where(F.contains(column, F.lit("@"))).select(F.col(column).alias("_longer"))
+    part = (F.col("_longer") != F.col(column)) & F.contains("_longer", F.col(column)) & ~F.contains(column, F.lit("@"))
+    return names.join(longer, part, "left_anti")
+
+
+def has_tag(alignments: DataFrame, tag: str) -> bool:
+    """Whether the first alignment carries a tag."""
+    return not alignments.limit(1).where(F.map_contains_key("tags", F.lit(tag))).isEmpty()
+
+
+def subreads(sequences: DataFrame, depth: int = 0, length: float = 0) -> DataFrame:
+    """read_id, subread, seq of records named read_number, of molecules with at least ``depth`` sub-reads whose median length exceeds ``length``."""
+    from ..operators.tandem import deep_molecules
+
+    rows = sequences.select(F.regexp_extract("name", r"^(.*)_[^_]*$", 1).alias("read_id"), F.col("name").alias("subread"), "seq")
+    good = deep_molecules(rows.withColumn("_n", F.length("seq")), ["read_id"], "_n", depth, length)
+    return rows.join(good.select("read_id"), "read_id", "left_semi")

@@ -266,3 +266,39 @@ def test_tandem(spark):
 def test_label_classes(spark):
     assert len(labels.haploid_classes()) == 5 and len(labels.diploid_classes()) == 15 and len(labels.run_length_classes()) == 49
     assert one(spark, labels.encode(F.lit("G"), labels.haploid_classes())) == 3
+
+
+def test_run_coordinates(spark):
+    seq = F.lit("CCCTAGGTTA")
+    assert one(spark, S.run_starts(seq)) == [0, 3, 4, 5, 7, 9]
+    assert [one(spark, S.run_of(F.lit(k), seq)) for k in (0, 2, 3, 9)] == [0, 0, 1, 5]
+
+
+def test_variants_of_a_read(spark):
+    row = ("q", 0, "ref", 0, 60, "3=1X2=1I1=1D1=", "ACATAGTCG", list(range(9)), {})
+    reference = spark.createDataFrame([("ref", "ACAGAGCTG")], "ref_name string, seq string")
+    got = [(r.pos, r.ref, r.alt) for r in variants.from_observations(observed(spark.createDataFrame([row], ALIGNMENT)), reference).orderBy("pos").collect()]
+    assert got == [(3, "G", "T"), (5, "G", "GT"), (6, "CT", "C")]
+
+
+def test_decode_variants(spark):
+    rows = [("r", 0, 0, "A", "A"), ("r", 1, 0, "C", "G"), ("r", 2, 0, "G", "G"), ("r", 2, 1, "*", "T"), ("r", 3, 0, "T", "T"), ("r", 4, 0, "A", "*"), ("r", 5, 0, "C", "C")]
+    df = spark.createDataFrame(rows, "ref_name string, major long, minor long, ref_symbol string, symbol string").withColumns({"prob": F.lit(0.9), "ref_prob": F.lit(0.1)})
+    got = [(r.pos, r.ref, r.alt) for r in variants.decode(df).orderBy("pos").collect()]
+    assert got == [(1, "C", "G"), (2, "G", "GT"), (3, "TA", "T")]
+
+
+def test_models(spark):
+    import numpy as np
+
+    from strandlake.operators import encoders
+
+    rng = np.random.default_rng(0)
+    layer = {f"{d}_{k}": rng.normal(size=s) for d in "fb" for k, s in (("w", (12, 10)), ("u", (12, 4)), ("bw", 12), ("bu", 12))}
+    model = encoders.gru_model([layer], (rng.normal(size=(5, 8)), np.zeros(5)))
+    chunks = spark.createDataFrame([(1, rng.random((6, 10)).tolist()), (2, rng.random((6, 10)).tolist()), (3, rng.random((4, 10)).tolist())], "k long, features array<array<double>>")
+    got = {r.k: r.probs for r in encoders.predict(chunks, model, ["k"]).collect()}
+    assert {k: len(p) for k, p in got.items()} == {1: 6, 2: 6, 3: 4}
+    assert all(abs(sum(row) - 1) < 1e-6 for p in got.values() for row in p)
+    with pytest.raises(KeyError):
+        encoders.encode(chunks, {"type": "none"})
