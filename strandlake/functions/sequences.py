@@ -21,9 +21,8 @@ def valid_symbols(seq: Column, symbols: str = "ACGTacgt") -> Column:
 
 def cigar_ops(cigar: Column) -> Column:
     """array<struct<n:int, op:string>>."""
-    numbers = F.transform(F.regexp_extract_all(cigar, F.lit(r"(\d+)(\D)"), F.lit(1)), lambda n: n.cast("int"))
-    letters = F.regexp_extract_all(cigar, F.lit(r"(\d+)(\D)"), F.lit(2))
-    return F.zip_with(numbers, letters, lambda n, op: F.struct(n.alias("n"), op.alias("op")))
+    tokens = F.regexp_extract_all(cigar, F.lit(r"(\d+\D)"), F.lit(1))
+    return F.transform(tokens, lambda t: F.struct(F.substr(t, F.lit(1), F.length(t) - 1).cast("int").alias("n"), F.substr(t, F.lit(-1)).alias("op")))
 
 
 def cigar_length(cigar: Column, kinds: str) -> Column:
