@@ -65,3 +65,13 @@ def test_masks_are_checked(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     with pytest.raises(ValueError):
         decontaminate.contaminated(docs, docs.withColumnRenamed("doc_id", "item_id"), masks=("0110",))
+
+
+def test_release_deletes_tables(spark):
+    from strandlake.llm.common import materialise, release
+
+    kept = materialise(spark.range(3), "scratch")
+    path = kept.inputFiles()[0].removeprefix("file://")
+    assert Path(path).exists()
+    release(spark)
+    assert not Path(path).exists()
