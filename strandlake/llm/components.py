@@ -22,7 +22,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         if tops.where("n > 1").isEmpty() and chained.isEmpty():
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # Written, so that the join below has exchanges of its own and a node with very many links can be split.
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         large = materialise(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
