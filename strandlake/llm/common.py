@@ -41,6 +41,23 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+#: Bits of a membership bitmap, at most; a bitmap of Spark's holds 32,768 of them in 4 KB, so that at most 8 MB are broadcast.
+FILTER_BITS = 1 << 26
+
+
+def maybe_in(df: DataFrame, wanted: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``df`` whose key is, or by chance seems to be, among those of ``wanted``: what a later semi-join has to shuffle.
+
+    One bit a hash of a key, in a table of fixed size, so what is broadcast has a bound whatever the number of keys.
+    """
+    place = lambda: F.pmod(F.xxhash64(key), F.lit(bits))
+    marks = wanted.groupBy(F.bitmap_bucket_number(place()).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place())).alias("_bits"))
+    joined = df.withColumn("_bucket", F.bitmap_bucket_number(place())).join(F.broadcast(marks), "_bucket")
+    at = F.bitmap_bit_position(place())
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return joined.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*df.columns)
+
+
 def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 

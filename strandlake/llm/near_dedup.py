@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, text_or_empty
+from .common import materialise, maybe_in, small_batches, text_or_empty
 from .components import components
 from .textbatch import GOLDEN, blocks, mix64, row_counts, shingles, words
 
@@ -135,12 +135,14 @@ def _prefix_pairs(rest: DataFrame, threshold: float) -> DataFrame:
     meet enough elements follow in both. Near copies with many own edits begin with elements nobody shares.
     """
     elements = rest.select("node", "root", F.size("bag").alias("n"), F.explode("bag").alias("element"))
-    often = elements.groupBy("element").agg(F.count(F.lit(1)).alias("often"))
+    often = elements.groupBy("element").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     ranked = elements.join(often, "element").groupBy("node", "root", "n").agg(F.sort_array(F.collect_list(F.struct("often", "element"))).alias("order"))
-    reach = lambda share: F.col("n") - F.ceil(F.lit(share) * F.col("n") - F.lit(1e-9)) + 1
-    heads = ranked.select("node", "root", "n", F.slice("order", F.lit(1), reach(threshold).cast("int")).alias("order"))
-    posts = heads.select("node", "root", "n", F.posexplode("order")).where("col.often > 1")
-    posts = posts.select(F.col("col.element").alias("element"), (F.col("pos") + 1).alias("pos"), "node", "root", "n")
+    # Elements of one document alone come first and meet nothing: only their number counts.
+    alone = (F.col("n") - F.size("order")).cast("int")
+    reach = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)) + 1 - alone
+    heads = ranked.withColumn("alone", alone).where(reach > 0).withColumn("order", F.slice("order", F.lit(1), reach.cast("int")))
+    posts = heads.select("node", "root", "n", "alone", F.posexplode("order"))
+    posts = posts.select(F.col("col.element").alias("element"), (F.col("alone") + F.col("pos") + 1).alias("pos"), "node", "root", "n")
     posts = materialise(posts, "prefixes")
     one, two = (posts.select("element", *[F.col(c).alias(f"{c}_{side}") for c in ("pos", "node", "root", "n")]) for side in "xy")
     one = one.where(F.col("pos_x") <= F.col("n_x") - F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("n_x") - F.lit(1e-9)) + 1)
@@ -187,19 +189,19 @@ def near_groups(
     members = materialise(members, "members")
 
     lone = members.where("node = rep").select("node").distinct()
-    entries = signed.join(lone, "node", "left_semi").select("node", "weight", F.explode("bands").alias("bucket"))
+    entries = signed.join(lone, "node", "left_semi").select("node", F.explode("bands").alias("bucket"))
     heads = entries.groupBy("bucket").agg(
         F.min("node").alias("head"), F.max("node").alias("tail"), F.count(F.lit(1)).alias("n")
     ).where("n > 1 and head < tail").drop("n")
-    held = materialise(entries.join(heads, "bucket").select("bucket", "node", "weight", "head", "tail"), "buckets")
+    held = materialise(entries.join(heads, "bucket").select("bucket", "node", "head", "tail"), "buckets")
 
     stars = held.select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(
         held.select(F.col("node").alias("a"), F.col("tail").alias("b"))
     )
     stars = materialise(stars.where("a < b").distinct(), "star-pairs")
-    wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    wanted = materialise(stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct(), "wanted")
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("node"), text.alias("text"))
-    texts = texts.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    texts = maybe_in(texts, wanted, "node").join(wanted, "node", "left_semi").dropDuplicates(["node"])
     bags = materialise(texts.mapInArrow(lambda batches: _bag_batches(batches, shingle), "node long, bag array<long>"), "bags")
     links = materialise(_verified(stars, bags, threshold), "star-links")
     grouped = components(links)

@@ -15,7 +15,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, held_out: Co
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out)
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-    picked = known.orderBy(F.xxhash64(F.lit("labelled sample"), "doc_id"), "doc_id").limit(rows)
-    picked = picked.select(F.col("doc_id").alias("_picked"), "label")
+    hashed = F.xxhash64(F.lit("labelled sample"), "doc_id")
+    n = known.count()
+    if n > 2 * rows:
+        # Hashes are uniform: the least ones lie below this bound, so that few candidates are sorted, however many labels there are.
+        known = known.where(hashed < F.lit(int(-(2**63) + 2**64 * 1.5 * rows / n)))
+    picked = known.orderBy(hashed, "doc_id").limit(rows).select(F.col("doc_id").alias("_picked"), "label")
     rows_of = docs.select(F.col("doc_id").alias("_id"), text_or_empty("text").alias("text"), *columns)
     return rows_of.join(F.broadcast(picked), F.col("_id") == F.col("_picked")).select("label", "text", *columns)
