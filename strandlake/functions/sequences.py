@@ -192,3 +192,24 @@ def record_name_parse(name: Column) -> Column:
 
 def pad_array(values: Column, size: int, fill: Column) -> Column:
     return F.concat(values, F.array_repeat(fill, F.greatest(F.lit(0), F.lit(size) - F.size(values))))
+
+
+def apply_checked(seq: Column, edits: Column) -> Column:
+    """struct<seq, substituted, inserted, deleted, skipped>: like ``apply_edits``, but edits that overlap an earlier one or whose ref is not there are skipped and counted."""
+    zero = F.lit(0)
+    names = ("substituted", "inserted", "deleted", "skipped")
+    start = F.struct(F.lit("").alias("out"), zero.cast("long").alias("at"), *[zero.alias(n) for n in names])
+
+    def step(s: Column, e: Column) -> Column:
+        good = (e["pos"] >= s["at"]) & (F.substr(seq, (e["pos"] + 1).cast("int"), F.length(e["ref"])) == e["ref"])
+        more = F.length(e["alt"]) - F.length(e["ref"])
+        put = F.concat(s["out"], F.substr(seq, (s["at"] + 1).cast("int"), (e["pos"] - s["at"]).cast("int")), e["alt"])
+        kinds = {"substituted": good & (more == 0), "inserted": good & (more > 0), "deleted": good & (more < 0), "skipped": ~good}
+        return F.struct(
+            F.when(good, put).otherwise(s["out"]).alias("out"),
+            F.when(good, e["pos"] + F.length(e["ref"])).otherwise(s["at"]).cast("long").alias("at"),
+            *[(s[n] + F.when(kinds[n], 1).otherwise(0)).alias(n) for n in names],
+        )
+
+    done = F.aggregate(edits, start, step)
+    return F.struct(F.concat(done["out"], F.substr(seq, (done["at"] + 1).cast("int"), F.length(seq))).alias("seq"), *[done[n].alias(n) for n in names])

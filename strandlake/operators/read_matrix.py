@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import heapq
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,27 +17,30 @@ GAP = 5
 def assign_rows(spans: DataFrame, block: int = 100_000, max_reads: int = 100) -> DataFrame:
     """Reads (ref_name, qname, start, end) with row: the first one free, in order of start and name; reads beyond ``max_reads`` rows get none.
 
-    Greedy, so each block of the reference is a group of its own, of as many reads as lie in it; a read that crosses blocks gets a row in each.
+    Greedy, so each block of the reference is filled by itself, as its sorted reads stream by; a read that crosses blocks gets a row in each.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ends: list[int] = []
-        rows = []
-        for start, end in pdf.sort_values(["start", "qname"])[["start", "end"]].itertuples(index=False):
-            free = next((k for k, e in enumerate(ends) if e + GAP <= start), None)
-            if free is None and len(ends) < max_reads:
-                ends.append(end)
-                free = len(ends) - 1
-            elif free is not None:
-                ends[free] = end
-            rows.append(free)
-        ordered = pdf.sort_values(["start", "qname"])
-        out = ordered[["ref_name", "block", "qname"]].assign(row=pd.array(rows, dtype="Int32"))
-        return out.dropna(subset=["row"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, ends = None, []
+        for pdf in batches:
+            rows = []
+            for ref, at, start, end in zip(pdf.ref_name, pdf.block, pdf.start, pdf.end, strict=True):
+                if (ref, at) != here:
+                    here, ends = (ref, at), []
+                free = next((k for k, e in enumerate(ends) if e + GAP <= start), None)
+                if free is not None:
+                    ends[free] = end
+                elif len(ends) < max_reads:
+                    ends.append(end)
+                    free = len(ends) - 1
+                rows.append(free)
+            out = pdf[["ref_name", "block", "qname"]].assign(row=pd.array(rows, dtype="Int32"))
+            yield out.dropna(subset=["row"])
 
     blocks = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))
     each = spans.withColumn("block", F.explode(blocks)).select("ref_name", "block", "qname", "start", "end")
-    return each.groupBy("ref_name", "block").applyInPandas(run, "ref_name string, block long, qname string, row int")
+    ordered = each.repartition("ref_name", "block").sortWithinPartitions("ref_name", "block", "start", "qname")
+    return ordered.mapInPandas(run, "ref_name string, block long, qname string, row int")
 
 
 def matrix(observations: DataFrame, rows: DataFrame, block: int = 100_000) -> DataFrame:

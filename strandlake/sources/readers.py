@@ -178,3 +178,22 @@ def subreads(sequences: DataFrame, depth: int = 0, length: float = 0) -> DataFra
     rows = sequences.select(F.regexp_extract("name", r"^(.*)_[^_]*$", 1).alias("read_id"), F.col("name").alias("subread"), "seq")
     good = deep_molecules(rows.withColumn("_n", F.length("seq")), ["read_id"], "_n", depth, length)
     return rows.join(good.select("read_id"), "read_id", "left_semi")
+
+
+def file_reads(spark: SparkSession, path: str) -> DataFrame:
+    """read_id, subread, seq: every FASTA file is one molecule, named by its path."""
+    rows = spark.read.option("lineSep", "\n>").text(path).select("value", F.col("_metadata.file_path").alias("read_id")).where(F.length(F.trim("value")) > 0)
+    head = F.regexp_replace(F.substring_index("value", "\n", 1), "^>", "")
+    body = F.regexp_replace(F.regexp_replace("value", "^[^\n]*(\n|$)", ""), r"\s", "")
+    return rows.select("read_id", F.regexp_extract(head, r"^(\S+)", 1).alias("subread"), body.alias("seq"))
+
+
+def with_run_lengths(alignments: DataFrame, params: DataFrame) -> DataFrame:
+    """Alignments with arrays shape and scale of a table (read_id, shape, scale); null for reads that are not in it."""
+    known = params.select(F.col("read_id").alias("qname"), "shape", "scale")
+    return alignments.join(known, "qname", "left")
+
+
+def metadata(spark: SparkSession, path: str) -> dict[str, str]:
+    """What ``writers.metadata`` wrote."""
+    return {r["key"]: r["value"] for r in spark.read.schema("key string, value string").json(path).collect()}

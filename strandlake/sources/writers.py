@@ -78,3 +78,13 @@ def tagged_union(frames: dict[str, DataFrame], tag: str) -> DataFrame:
     for df in tagged[1:]:
         out = out.unionByName(df)
     return out
+
+
+def concat_tsv(paths: list[str], df_of: DataFrame, path: str) -> None:
+    """Several TSV files with one header as one table, written with one header a file. ``df_of`` gives the session and the columns."""
+    df_of.sparkSession.read.schema(df_of.schema).csv(paths, sep="\t", header=True).write.csv(path, sep="\t", header=True)
+
+
+def metadata(df_of: DataFrame, values: dict[str, str], path: str) -> None:
+    """A few keys and values as JSON beside a store; later ones replace earlier ones."""
+    df_of.sparkSession.createDataFrame(sorted(values.items()), "key string, value string").coalesce(1).write.mode("overwrite").json(path)

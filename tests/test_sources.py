@@ -72,3 +72,35 @@ def test_streams_equal_batches(spark, tmp_path):
     batch = {(r.ref_name, r.start, r.length, r.value) for r in islands.run_length(df, ["ref_name"], ["k"], "symbol").collect()}
     open_runs = {max((r for r in batch if r[0] == key), key=lambda r: r[1]) for key in ("u1", "u2")}
     assert got == batch - open_runs
+
+
+def test_metadata_files_and_tables(spark, tmp_path):
+    df = spark.createDataFrame([("r1", 1), ("r2", 2)], "name string, n int")
+    writers.metadata(df, {"model": "x", "scheme": "haploid"}, str(tmp_path / "meta"))
+    assert readers.metadata(spark, str(tmp_path / "meta")) == {"model": "x", "scheme": "haploid"}
+    for k in "ab":
+        df.coalesce(1).write.csv(str(tmp_path / k), sep="\t", header=True)
+    writers.concat_tsv([str(tmp_path / "a"), str(tmp_path / "b")], df, str(tmp_path / "both"))
+    assert spark.read.csv(str(tmp_path / "both"), sep="\t", header=True).count() == 4
+    (tmp_path / "m1.fa").write_text(">s1\nAC\nGT\n>s2\nGG\n")
+    (tmp_path / "m2.fa").write_text(">s1\nTT\n")
+    got = {(r.read_id.rsplit("/")[-1], r.subread, r.seq) for r in readers.file_reads(spark, str(tmp_path / "*.fa")).collect()}
+    assert got == {("m1.fa", "s1", "ACGT"), ("m1.fa", "s2", "GG"), ("m2.fa", "s1", "TT")}
+
+
+def test_read_groups_and_models(spark):
+    import pytest
+
+    groups = spark.createDataFrame([("a", "x basecall_model=m@v1 y"), ("b", "basecall_model=m")], "read_group string, description string")
+    with pytest.raises(ValueError):
+        readers.check_read_group(groups, None)
+    with pytest.raises(ValueError):
+        readers.check_read_group(groups, "c")
+    readers.check_read_group(groups, "b")
+    assert [r.model for r in readers.without_shorter_names(readers.basecallers(groups)).collect()] == ["m@v1"]
+
+
+def test_subreads(spark):
+    rows = [(f"m_1_{k}", "", "ACGT" * (k + 1)) for k in range(3)] + [("n_0", "", "AC")]
+    kept = readers.subreads(spark.createDataFrame(rows, "name string, comment string, seq string"), 3, 7)
+    assert {r.read_id for r in kept.collect()} == {"m_1"} and kept.count() == 3
