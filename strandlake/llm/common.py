@@ -41,8 +41,8 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-#: Bits of a membership bitmap, at most; a bitmap of Spark's holds 32,768 of them in 4 KB, so that at most 8 MB are broadcast.
-FILTER_BITS = 1 << 26
+#: Bits of a membership bitmap, at most; a bitmap of Spark's holds 32,768 of them in 4 KB, so that at most 2 MB are broadcast.
+FILTER_BITS = 1 << 24
 
 
 def maybe_in(df: DataFrame, wanted: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
