@@ -5,7 +5,9 @@ A block is a line, or a window of a long line. A template is found in a block if
 them, counted over the whole corpus, rarest first. A block that reaches the threshold
 holds one of a template's first k - ceil(t k) + 1 words, so only these are looked
 up; the length filter needs as many distinct words in a block as must be shared; the positional filter
-needs enough words after the first one found. What is left is verified exactly.
+needs enough words after the first one found. What is left is verified exactly. Templates that
+differ in a word or two also need one of their ``MARKS``, words that stand consecutively in the block:
+a share of the words alone can't tell them apart.
 """
 
 from __future__ import annotations
@@ -39,6 +41,20 @@ TEMPLATES = (
     ("cc-by-sa", "licensed under CC BY SA 4 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
 )
+_GPL = ("general public", "gnu general", "gnu public", "gnu gpl", "the gpl")
+#: Templates, by text, whose words other licences nearly hold too: one of these runs of words must stand in the block.
+MARKS = {
+    "released under the MIT license": ("under the mit", "under mit", "mit license", "mit licence"),
+    "licensed under the apache license version 2 0": ("under the apache", "under apache", "apache license", "apache licence", "apache 2"),
+    "this work is licensed under the GNU general public license version 3": _GPL,
+    "this program is free software you can redistribute it and or modify it under the terms of the GNU general public license": _GPL,
+    "this source code form is subject to the terms of the mozilla public license": ("mozilla",),
+    "licensed under CC BY NC 4 0": ("by nc",),
+    "licensed under CC BY SA 4 0": ("by sa", "nc sa"),
+    "this work is licensed under a creative commons attribution 4 0 international license": ("attribution",),
+}
+#: A mark counts only where none of these words follows it: they make it another licence.
+NOT_AFTER = {"attribution": ("noncommercial", "sharealike", "noderivatives", "noderivs", "non", "share", "no")}
 
 
 def word_set(text: str) -> set[str]:
@@ -63,6 +79,8 @@ class Templates:
             self.needed.append(math.ceil(threshold * len(order) - 1e-9))
             for h in self.orders[k][: len(order) - self.needed[k] + 1]:
                 self.prefix.setdefault(h, []).append(k)
+        run = lambda phrase: [hash_word(w) for w in phrase.split()]
+        self.marks = [[(run(m), {hash_word(w) for w in NOT_AFTER.get(m, ())}) for m in MARKS.get(text, ())] for _, text in templates]
         self.lookup = np.array(sorted(self.prefix), dtype=np.uint64)
 
     def scan(self, block: Block, found: Words, window: int) -> dict[int, dict[str, float]]:
@@ -77,18 +95,20 @@ class Templates:
         begin, end = np.searchsorted(line, lines, side="left"), np.searchsorted(line, lines, side="right")
         rows = np.searchsorted(found.offsets, at, side="right") - 1
         held: dict[int, set[int]] = {}
+        ends: dict[int, int] = {}
         tried: set[tuple[int, int]] = set()
         for word, row, first, last in zip(at.tolist(), rows.tolist(), begin.tolist(), end.tolist(), strict=True):
             for start in _windows(word - first, last - first, window):
                 key = first + start
                 if key not in held:
-                    held[key] = set(found.hashes[key : min(key + window, last)].tolist())
+                    ends[key] = min(key + window, last)
+                    held[key] = set(found.hashes[key : ends[key]].tolist())
                 for k in self.prefix[int(found.hashes[word])]:
                     if (key, k) in tried:
                         continue
                     tried.add((key, k))
                     share = self._share(k, held[key])
-                    if share:
+                    if share and self._marked(k, found.hashes[key : ends[key]].tolist()):
                         labels = out.setdefault(row, {})
                         labels[self.labels[k]] = max(labels.get(self.labels[k], 0.0), share)
         return out
@@ -104,6 +124,14 @@ class Templates:
         shared = sum(h in held for h in order)
         return shared / len(order) if shared >= needed else 0.0
 
+    def _marked(self, k: int, run: list[int]) -> bool:
+        """Whether one of the template's marks stands in a block's words; a template without marks needs none."""
+        return not self.marks[k] or any(
+            run[i : i + len(mark)] == mark and refused.isdisjoint(run[i + len(mark) : i + len(mark) + 1])
+            for mark, refused in self.marks[k]
+            for i in range(len(run) - len(mark) + 1)
+        )
+
 
 def _windows(at: int, n: int, window: int) -> list[int]:
     """Starts of the windows that hold word ``at`` of a line of ``n`` words: every half window, the last reaching the end."""
