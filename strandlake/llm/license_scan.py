@@ -1,6 +1,7 @@
 """Licence scans: an exact set-similarity join of text blocks with licence templates.
 
-A block is a line, or a window of a long line. A template is found in a block if at least
+A block is a line, a window of a long line, or a window of the whole text, which runs
+across line ends, so that a text wrapped at any column is met whole. A template is found in a block if at least
 ``THRESHOLD`` of its distinct words stand in it. Words are ordered by how many documents hold
 them, counted over the whole corpus, rarest first. A block that reaches the threshold
 holds one of a template's first k - ceil(t k) + 1 words, so only these are looked
@@ -89,28 +90,28 @@ class Templates:
         at = _members(found.hashes, self.lookup)
         if not len(at):
             return out
+        rows = np.searchsorted(found.offsets, at, side="right") - 1
         breaks = np.unique(np.concatenate([np.flatnonzero(block.data == 10), block.offsets]))
         line = np.searchsorted(breaks, found.starts, side="right")
         lines = line[at]
-        begin, end = np.searchsorted(line, lines, side="left"), np.searchsorted(line, lines, side="right")
-        rows = np.searchsorted(found.offsets, at, side="right") - 1
-        held: dict[int, set[int]] = {}
-        ends: dict[int, int] = {}
-        tried: set[tuple[int, int]] = set()
-        for word, row, first, last in zip(at.tolist(), rows.tolist(), begin.tolist(), end.tolist(), strict=True):
-            for start in _windows(word - first, last - first, window):
-                key = first + start
-                if key not in held:
-                    ends[key] = min(key + window, last)
-                    held[key] = set(found.hashes[key : ends[key]].tolist())
-                for k in self.prefix[int(found.hashes[word])]:
-                    if (key, k) in tried:
-                        continue
-                    tried.add((key, k))
-                    share = self._share(k, held[key])
-                    if share and self._marked(k, found.hashes[key : ends[key]].tolist()):
-                        labels = out.setdefault(row, {})
-                        labels[self.labels[k]] = max(labels.get(self.labels[k], 0.0), share)
+        by_line = np.searchsorted(line, lines, side="left"), np.searchsorted(line, lines, side="right")
+        by_text = found.offsets[rows], found.offsets[rows + 1]
+        held: dict[tuple[int, int], set[int]] = {}
+        tried: set[tuple[int, int, int]] = set()
+        for begin, end in (by_line, by_text):
+            for word, row, first, last in zip(at.tolist(), rows.tolist(), begin.tolist(), end.tolist(), strict=True):
+                for start in _windows(word - first, last - first, window):
+                    key = first + start, min(first + start + window, last)
+                    if key not in held:
+                        held[key] = set(found.hashes[slice(*key)].tolist())
+                    for k in self.prefix[int(found.hashes[word])]:
+                        if (*key, k) in tried:
+                            continue
+                        tried.add((*key, k))
+                        share = self._share(k, held[key])
+                        if share and self._marked(k, found.hashes[slice(*key)].tolist()):
+                            labels = out.setdefault(row, {})
+                            labels[self.labels[k]] = max(labels.get(self.labels[k], 0.0), share)
         return out
 
     def _share(self, k: int, held: set[int]) -> float:
@@ -134,9 +135,10 @@ class Templates:
 
 
 def _windows(at: int, n: int, window: int) -> list[int]:
-    """Starts of the windows that hold word ``at`` of a line of ``n`` words: every half window, the last reaching the end."""
-    half = window // 2
-    return [s for s in range(0, max(n - half, 1), half) if s <= at < s + window]
+    """Starts of the windows that hold word ``at`` of ``n`` words: every half window, the last reaching the end."""
+    half = max(window // 2, 1)
+    first = max(0, (at - window) // half + 1) * half
+    return [s for s in range(first, min(at + 1, max(n - half, 1)), half) if s <= at < s + window]
 
 
 def _members(hashes: np.ndarray, lookup: np.ndarray) -> np.ndarray:

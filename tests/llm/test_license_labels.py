@@ -33,3 +33,26 @@ def test_labels_are_exact(spark):
 def test_marks_belong_to_templates():
     assert set(license_scan.MARKS) <= {text for _, text in license_scan.TEMPLATES}
     assert set(license_scan.NOT_AFTER) <= {m for marks in license_scan.MARKS.values() for m in marks}
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:"""
+
+
+def test_wrapped_texts(spark):
+    commented = "\n".join(f" * {line}" for line in BSD.split("\n"))
+    narrow = "\n".join(MIT.split())
+    filler = "\n".join(f"some other line number {k} of the file" for k in range(40))
+    want = {MIT: "mit", BSD: "bsd", commented: "bsd", narrow: "mit", f"{filler}\n{MIT}\n{filler}": "mit", f"{filler}\n{BSD}\n{filler}\n{MIT}": "bsd,mit", filler: ""}
+    assert labels(spark, list(want)) == want
+
+
+def test_windows_hold_the_word():
+    for n in (1, 5, 31, 32, 33, 64, 65, 96, 97, 200):
+        for at in range(n):
+            assert license_scan._windows(at, n, 64) == [s for s in range(0, max(n - 32, 1), 32) if s <= at < s + 64]
