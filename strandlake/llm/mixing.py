@@ -3,21 +3,28 @@
 Token weights are summed to cells of source, language and topic. Raking scales
 the cells, dimension after dimension and round after round, so that each dimension's marginal
 reaches its target. A document's calibrated factor is its cell's raked weight
-over its supply; documents are sampled with probability ``share`` times that factor, at
-most 1, by a hash of their id, so a repeated run samples the same documents.
+over its supply; documents are sampled with probability share times that factor,
+by a hash of their id, so a repeated run samples the same documents.
+
+No probability may be over 1, so raking is bounded: a cell's weight stops at its supply
+over the share, and the other cells are raked to what is left. If a value is so rare that its target
+can't be met at the wished share, the share is lowered to the largest one at which all targets are met.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import text_or_empty
 
 DIMENSIONS = ("source", "lang", "topic")
 #: For each dimension the power to which its token shares are raised to give its targets: 1 keeps them, 0 makes all values equal.
 TEMPERATURES = {"source": 0.5, "lang": 0.5, "topic": 0.7}
 ROUNDS, SHARE, NONE = 8, 0.6, "(none)"
+#: Raking goes on until all marginals are within this part of all tokens, and for so many rounds at most.
+ERROR, MOST_ROUNDS = 1e-9, 2000
 
 
 def topic_of(text: str = "text") -> Column:
@@ -36,33 +43,96 @@ def token_weight(text: str = "text") -> Column:
     return F.greatest(F.ceil(F.octet_length(text_or_empty(text)) / 4), F.lit(1)).cast("double")
 
 
-def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], rounds: int = ROUNDS) -> DataFrame:
-    """``cells`` (a column for each key of ``targets``, and tokens) plus factor, whose token-weighted mean is 1.
+def _goals(name: str, values: np.ndarray, sums: np.ndarray, target: float | dict[str, float]) -> np.ndarray:
+    """Target shares of a dimension's values, which add up to 1."""
+    if isinstance(target, dict):
+        named = np.array([v in target for v in values])
+        left = max(0.0, 1.0 - sum(target.values()))
+        goals = np.where(named, [float(target.get(v, 0.0)) for v in values], sums / (sums[~named].sum() or 1.0) * left)
+    else:
+        goals = np.power(sums, float(target))
+    if not goals.sum() > 0:
+        raise ValueError(f"no value of {name} has a target over 0")
+    return goals / goals.sum()
+
+
+def _bounded(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], share: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Probabilities, at most 1, that bring the marginals to share times the goals, and the largest error as a part of all tokens.
+
+    A cell's probability is the product of a scale for each of its values, cut to 1. A step finds, for each value of a
+    dimension, the scale by which the cut cells meet its goal: Newton's method on a concave function, from below.
+    """
+    total = tokens.sum()
+    x, error = np.full(len(tokens), share), np.inf
+    for done in range(1, MOST_ROUNDS + 1):
+        for code, goal in zip(codes, goals, strict=True):
+            n, to = len(goal), goal * share * total
+            whole = np.bincount(code, tokens * x, n)
+            scale = np.divide(to, whole, out=np.zeros(n), where=whole > 0)
+            for _ in range(100):
+                now = scale[code] * x
+                free = np.bincount(code, np.where(now < 1, tokens * x, 0.0), n)
+                miss = to - np.bincount(code, tokens * np.minimum(now, 1.0), n)
+                move = np.divide(miss, free, out=np.zeros(n), where=(free > 0) & (miss > 0))
+                if not (miss[free > 0] > ERROR * 1e-3 * total).any():
+                    break
+                scale += move
+            # A value whose cells are all cut keeps them just there: larger scales would only grow from round to round.
+            x = np.minimum(x * scale[code], 1e12)
+        p = np.minimum(x, 1.0)
+        error = max(np.abs(np.bincount(c, tokens * p, len(g)) / (share * total) - g).max() for c, g in zip(codes, goals, strict=True))
+        if done >= rounds and error <= ERROR:
+            break
+    return np.minimum(x, 1.0), float(error)
+
+
+def calibrate(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], share: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Probabilities of the cells and the share they sample: the wished one, or the largest below it at which all marginals meet their goals.
+
+    Goals that no weights meet (a value and another that never stand together) are met as nearly as unbounded raking comes.
+    """
+    total = tokens.sum()
+    meets = lambda error: error <= ERROR * 10
+    # No value can give more than all of its tokens.
+    high = min([share, *(float((np.bincount(c, tokens, len(g)) / total / np.where(g > 0, g, np.nan))[g > 0].min()) for c, g in zip(codes, goals, strict=True))])
+    found, error = _bounded(tokens, codes, goals, high, rounds)
+    if not meets(error):
+        # So low a share that nothing is cut: what raking without a bound gives.
+        low, tiny = 0.0, 1e-9
+        free, _ = _bounded(tokens, codes, goals, tiny, rounds)
+        low = min(high, tiny / free.max())
+        found = free * (low / tiny)
+        for _ in range(24):
+            middle = (low + high) / 2
+            tried, error = _bounded(tokens, codes, goals, middle, rounds)
+            if meets(error):
+                low, found = middle, tried
+            else:
+                high = middle
+    return found, float((tokens * found).sum() / total)
+
+
+def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
+    """``cells`` (a column for each key of ``targets``, and tokens) plus prob and factor, whose token-weighted mean is 1.
 
     A target is a power of the present shares, or wished shares by value: values it does not name keep theirs,
-    scaled to what the named ones leave.
+    scaled to what the named ones leave. ``rounds``: at least so many, and more until the marginals are met.
+    Cells, not documents, reach the driver: one row for each combination of values.
     """
-    total = cells.agg(F.sum("tokens")).first()[0] or 0.0
-    for name, target in targets.items():
-        sums = cells.groupBy(name).agg(F.sum("tokens").alias("_sum"))
-        if isinstance(target, dict):
-            wished = F.coalesce(*[F.when(F.col(name) == k, F.lit(float(v))) for k, v in target.items()])
-            other = sums.where(~F.col(name).isin(list(target))).agg(F.sum("_sum")).first()[0] or 1.0
-            left = max(0.0, 1.0 - sum(target.values()))
-            sums = sums.withColumn(f"_to_{name}", F.coalesce(wished, F.col("_sum") / other * left) * total)
-        else:
-            sums = sums.withColumn(f"_to_{name}", F.pow("_sum", F.lit(float(target))))
-            norm = sums.agg(F.sum(f"_to_{name}")).first()[0] or 1.0
-            sums = sums.withColumn(f"_to_{name}", F.col(f"_to_{name}") / norm * total)
-        cells = cells.join(sums.drop("_sum"), name)
-    cells = materialise(cells.withColumn("_w", F.col("tokens")), "cells")
-    for _ in range(rounds):
-        for name in targets:
-            now = cells.groupBy(name).agg(F.sum("_w").alias("_now"))
-            cells = cells.join(now, name).withColumn("_w", F.col("_w") * F.col(f"_to_{name}") / F.col("_now")).drop("_now")
-        cells = materialise(cells, "cells")
-    sums = cells.agg(F.sum("_w")).first()[0] or 1.0
-    return cells.select(*targets, "tokens", (F.col("_w") / F.col("tokens") * (total / sums)).alias("factor"))
+    names = list(targets)
+    rows = cells.select(*names, F.col("tokens").cast("double")).collect()
+    schema = ", ".join([*(f"`{d}` string" for d in names), "tokens double, prob double, factor double"])
+    if not rows:
+        return cells.sparkSession.createDataFrame([], schema)
+    tokens = np.array([r["tokens"] for r in rows])
+    codes, goals = [], []
+    for name in names:
+        values, code = np.unique(np.array([r[name] for r in rows], dtype=object), return_inverse=True)
+        codes.append(code)
+        goals.append(_goals(name, values, np.bincount(code, tokens, len(values)), targets[name]))
+    prob, reached = calibrate(tokens, codes, goals, share, rounds)
+    out = [(*(r[d] for d in names), r["tokens"], float(p), float(p / reached)) for r, p in zip(rows, prob, strict=True)]
+    return cells.sparkSession.createDataFrame(out, schema)
 
 
 def uniform(id_col: str) -> Column:
@@ -80,15 +150,15 @@ def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict | None = None, rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
     """``docs`` plus mix_topic, mix_tokens, mix_factor, mix_prob and sampled (columns of these names are replaced).
 
-    ``share``: the part of all tokens to sample, before probabilities over 1 are cut to 1. Rows that share an id are sampled
-    together if their cells agree. An empty table gives an empty result.
+    ``share``: the part of all tokens to sample; less is sampled if the targets can't be met so (see ``calibrate``). Rows that share an id
+    are sampled together if their cells agree. An empty table gives an empty result.
     """
     keyed = _keyed(docs, text_col)
     cells = keyed.groupBy(*[F.col(f"_mix_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("_mix_tokens").alias("tokens"))
-    raked = rake(materialise(cells, "cells"), targets or TEMPERATURES, rounds)
-    raked = raked.select(*[F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS], F.col("factor").alias("_mix_factor"))
+    raked = rake(cells, targets or TEMPERATURES, rounds, share)
+    raked = raked.select(*[F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS], F.col("factor").alias("_mix_factor"), F.col("prob").alias("_mix_prob"))
     joined = keyed.join(raked, [f"_mix_{d}" for d in DIMENSIONS])
-    prob = F.least(F.lit(1.0), F.lit(share) * F.col("_mix_factor"))
+    prob = F.col("_mix_prob")
     return joined.select(
         *[joined[c] for c in docs.columns if c not in ("mix_topic", "mix_tokens", "mix_factor", "mix_prob", "sampled")],
         F.col("_mix_topic").alias("mix_topic"),
