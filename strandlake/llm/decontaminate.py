@@ -115,11 +115,13 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without documents that hold a benchmark item, columns as they are."""
-    absent = F.lit(-(2**63))
-    gone = contaminated(docs, benchmark, id_col, text_col, **options).select(F.coalesce("doc_id", absent).alias("_strandlake_id")).distinct()
-    keyed = docs.withColumn("_strandlake_id", F.coalesce(F.col(id_col).cast("long"), absent))
-    return keyed.join(gone, "_strandlake_id", "left_anti").select(*docs.columns)
+    """``docs`` without documents that hold a benchmark item, columns as they are.
+
+    The rows are numbered and written once, so that a row is judged by its own text, whatever rows share its id or have none.
+    """
+    numbered = materialise(docs.withColumn("_strandlake_row", F.monotonically_increasing_id()), "numbered")
+    gone = contaminated(numbered, benchmark, "_strandlake_row", text_col, **options).select(F.col("doc_id").alias("_strandlake_row")).distinct()
+    return numbered.join(gone, "_strandlake_row", "left_anti").select(*docs.columns)
 
 
 def oracle_sql(masks: tuple[str, ...] = MASKS, window: int = 20, agreement: float = 0.8) -> str:

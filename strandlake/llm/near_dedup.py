@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, maybe_in, small_batches, text_or_empty
@@ -100,7 +100,7 @@ def _signature_batches(batches: Iterator[pa.RecordBatch], shingle: int, bands: i
             )
             part = batch.slice(block.first, n)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array(total), lists], names=["doc_id", "digest", "weight", "bands"]
+                [part.column(0), part.column(1), part.column(2), pa.array(total), lists], names=["doc_id", "digest", "row_no", "weight", "bands"]
             )
 
 
@@ -163,33 +163,49 @@ def near_groups(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """One row per document: doc_id, rep_id, class_id, group_size, kept.
+    """One row per row of ``docs``: doc_id, rep_id, class_id, group_size, kept.
 
     rep_id is the smallest id with the same text. class_id is the smallest id of the connected component of
     links of weighted Jaccard similarity >= ``threshold`` over multisets of ``shingle``-word shingles; texts
-    with fewer words, but some, are one shingle. kept: the row of class_id. Texts without words (null,
-    empty, punctuation alone) are linked to equal texts only. Ids are taken as unique; rows that share an id share its class, and null
-    ids are one more id.
+    with fewer words, but some, are one shingle. kept: the row of class_id; of rows that share that id too, one. Texts
+    without words (null, empty, punctuation alone) are linked to equal texts only. Rows are told apart by a number of their
+    own, so rows that share an id, or have none, are linked by their texts alone. Null ids count as smallest.
     """
+    return numbered_groups(docs, F.monotonically_increasing_id(), id_col, text_col, shingle, threshold, bands, rows).drop("row_no")
+
+
+def numbered_groups(
+    docs: DataFrame,
+    row_no: Column,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    threshold: float = THRESHOLD,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """``near_groups`` plus row_no, a number unique in the table."""
     spark = docs.sparkSession
     small_batches(spark)
     text = text_or_empty(text_col)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("digest"), text.alias("text"))
+    digest = F.unhex(F.sha2(text, 256))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("digest"), row_no.alias("row_no"), text.alias("text"))
     signed = source.mapInArrow(
         lambda batches: _signature_batches(batches, shingle, bands, rows),
-        "doc_id long, digest binary, weight long, bands array<long>",
+        "doc_id long, digest binary, row_no long, weight long, bands array<long>",
     )
-    signed = materialise(signed.withColumn("node", F.coalesce("doc_id", F.lit(-(2**63)))), "signatures")
+    signed = materialise(signed, "signatures")
 
-    # Equal texts: one node speaks for all of them.
-    reps = signed.groupBy("digest").agg(F.min("node").alias("rep"))
-    slots = signed.select("digest", "node", F.pmod("node", F.lit(64)).alias("salt"))
+    # Equal texts: one node, the number of one of their rows, speaks for all of them.
+    reps = signed.groupBy("digest").agg(F.min("row_no").alias("node"), F.min(F.struct("doc_id")).alias("rep"))
+    reps = materialise(reps.select("digest", "node", F.col("rep.doc_id").alias("rep_id")), "representatives")
+    slots = signed.select("digest", "row_no", "doc_id", F.pmod("row_no", F.lit(64)).alias("salt"))
     heads = slots.groupBy("digest", "salt").agg(F.count(F.lit(1)).alias("n")).join(reps, "digest").drop("n")
-    members = slots.join(heads, ["digest", "salt"]).select("node", "rep")
+    members = slots.join(heads, ["digest", "salt"]).select("row_no", "doc_id", "node", "rep_id")
     members = materialise(members, "members")
 
-    lone = members.where("node = rep").select("node").distinct()
-    entries = signed.join(lone, "node", "left_semi").select("node", F.explode("bands").alias("bucket"))
+    lone = reps.select(F.col("node").alias("row_no"))
+    entries = signed.join(lone, "row_no", "left_semi").select(F.col("row_no").alias("node"), F.explode("bands").alias("bucket"))
     heads = entries.groupBy("bucket").agg(
         F.min("node").alias("head"), F.max("node").alias("tail"), F.count(F.lit(1)).alias("n")
     ).where("n > 1 and head < tail").drop("n")
@@ -200,8 +216,10 @@ def near_groups(
     )
     stars = materialise(stars.where("a < b").distinct(), "star-pairs")
     wanted = materialise(stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct(), "wanted")
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("node"), text.alias("text"))
-    texts = maybe_in(texts, wanted, "node").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    # The texts are found again by their digests: equal ones are one node.
+    wanted_texts = materialise(reps.join(wanted, "node", "left_semi").select("digest", "node"), "wanted-texts")
+    texts = docs.select(digest.alias("digest"), text.alias("text"))
+    texts = maybe_in(texts, wanted_texts, "digest").join(wanted_texts, "digest").select("node", "text").dropDuplicates(["node"])
     bags = materialise(texts.mapInArrow(lambda batches: _bag_batches(batches, shingle), "node long, bag array<long>"), "bags")
     links = materialise(_verified(stars, bags, threshold), "star-links")
     grouped = components(links)
@@ -214,25 +232,29 @@ def near_groups(
     if not pairs.isEmpty():
         grouped = components(links.unionByName(_verified(pairs, bags, threshold)))
 
-    roots = members.join(grouped.withColumnRenamed("node", "rep"), "rep", "left")
-    roots = roots.select("node", "rep", F.coalesce("root", "rep").alias("root"))
+    roots = members.join(grouped, "node", "left")
+    roots = roots.select("row_no", "doc_id", "rep_id", F.coalesce("root", "node").alias("root"))
     roots = materialise(roots, "classes")
-    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    few = roots.select("root", F.pmod("node", F.lit(64)).alias("salt")).distinct().join(sizes, "root")
-    sized = roots.withColumn("salt", F.pmod("node", F.lit(64))).join(few, ["root", "salt"], "left")
-    real = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "row_no")).alias("top")).where("size > 1")
+    few = roots.select("root", F.pmod("row_no", F.lit(64)).alias("salt")).distinct().join(sizes, "root")
+    sized = roots.withColumn("salt", F.pmod("row_no", F.lit(64))).join(few, ["root", "salt"], "left")
+    alone = F.col("top").isNull()
     return sized.select(
-        real("node").alias("doc_id"),
-        real("rep").alias("rep_id"),
-        real("root").alias("class_id"),
+        "doc_id",
+        "rep_id",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("class_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        (F.col("node") == F.col("root")).alias("kept"),
+        (alone | (F.col("top.row_no") == F.col("row_no"))).alias("kept"),
+        "row_no",
     )
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, columns as they are."""
-    gone = near_groups(docs, id_col, text_col, **options).where(~F.col("kept"))
-    gone = gone.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_strandlake_id")).distinct()
-    keyed = docs.withColumn("_strandlake_id", F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))))
-    return keyed.join(gone, "_strandlake_id", "left_anti").select(*docs.columns)
+    """``docs`` with one document of each near-duplicate group, columns as they are.
+
+    The rows are numbered and written once, so that dropped ones are found again by a key that no two rows share.
+    """
+    numbered = materialise(docs.withColumn("_strandlake_row", F.monotonically_increasing_id()), "numbered")
+    found = numbered_groups(numbered, F.col("_strandlake_row"), id_col, text_col, **options)
+    gone = found.where(~F.col("kept")).select(F.col("row_no").alias("_strandlake_row"))
+    return numbered.join(gone, "_strandlake_row", "left_anti").select(*docs.columns)
