@@ -19,8 +19,7 @@ def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("str1_reverse_complement", "SELECT doc_id, md5(reverse(translate(text, 'ACGTacgt', 'TGCAtgca'))) AS seq_md5 FROM documents WHERE text NOT LIKE '%é%' AND text NOT LIKE '%ó%'")
 def str1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("text NOT LIKE '%é%' AND text NOT LIKE '%ó%'")
-    return docs.select("doc_id", F.md5(S.reverse_complement(F.col("text"))).alias("seq_md5"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(S.reverse_complement(F.col("text"))).alias("seq_md5"))
 
 
 _CIGAR_SQL = "cig AS (SELECT l_orderkey AS k, l_linenumber AS i, l_linenumber || 'S' || l_quantity::INT || '=' || (l_partkey % 9 + 1) || 'D' || (l_suppkey % 5 + 1) || 'I' || (l_partkey % 4 + 1) || '=3X' AS cigar FROM lineitem)"
