@@ -109,8 +109,8 @@ def win16(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT conv_id, min(turn) AS "start", max(turn) AS stop, string_agg(seq, '' ORDER BY turn) AS seq FROM b GROUP BY conv_id, piece""",
 )
 def win9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = table(spark, sf_dir, "conversations").where("turn % 4 <> 3")
-    pieces = pieces.select("conv_id", F.col("turn").alias("start"), F.col("turn").alias("stop"), F.substring("text", 1, 12).alias("seq"))
+    pieces = table(spark, sf_dir, "conversations")
+    pieces = pieces.select("conv_id", F.col("turn").alias("start"), F.col("turn").alias("stop"), F.col("text").alias("seq"))
     return islands.collapse_neighbours(pieces, ["conv_id"], "start", "stop", "seq")
 
 

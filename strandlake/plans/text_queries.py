@@ -199,7 +199,7 @@ def str17(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flt11_valid_symbols", "SELECT conv_id, turn FROM conversations WHERE regexp_full_match(substr(text, 1, 3), '[A-Ta-t]*')")
 def flt11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where(S.valid_symbols(F.substring("text", 1, 3), "A-Ta-t")).select("conv_id", "turn")
+    return table(spark, sf_dir, "conversations").where(S.valid_symbols(F.col("text"), "A-Ta-t")).select("conv_id", "turn")
 
 
 @query("mth10_saturation", "SELECT event_id, least(127, floor(value)::INT)::INT AS dwell FROM events")
@@ -228,24 +228,24 @@ def aln1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("aln3_chunked_edits", """SELECT a.doc_id AS name, k AS chunk, levenshtein(substr(a.text, (k * 40 + 1)::INT, 40), substr(b.text, (k * 40 + 1)::INT, 40))::INT AS distance
     FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 JOIN range(0, 5) r(k) ON k < ceil(greatest(len(a.text), len(b.text)) / 40) WHERE strlen(a.text) = len(a.text) AND strlen(b.text) = len(b.text)""")
 def aln3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("octet_length(text) = length(text)")
+    docs = table(spark, sf_dir, "documents")
     pairs = docs.select(F.col("doc_id").alias("name"), F.col("text").alias("query")).join(docs.select((F.col("doc_id") - 1).alias("name"), F.col("text").alias("ref")), "name")
-    return align.chunked_edits(pairs, 40).where("chunk < 5")
+    return align.chunked_edits(pairs)
 
 
 @query("aln6_star_consensus")
 def aln6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Consensus of each conversation's first turns as sub-reads of one molecule. No SQL: multiple alignment."""
-    rows = table(spark, sf_dir, "conversations").where("turn < 3").select("conv_id", F.substring(F.regexp_replace(F.upper("text"), "[^A-Z]", ""), 1, 40).alias("seq"))
+    """Consensus of each conversation's turns as sub-reads of one molecule. No SQL: multiple alignment."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.regexp_replace(F.upper("text"), "[^A-Z]", "").alias("seq"))
     return align.star_consensus(rows.where("seq <> ''"), ["conv_id"])
 
 
 @query("agg15_ambiguous_alleles")
 def agg15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads by best allele. No SQL: alignment scores."""
-    rows = dna(spark, sf_dir).where("length(seq) > 12")
-    reads = rows.select((F.col("id") % 5).alias("site"), F.col("id").alias("read_id"), (F.col("id") % 2 == 1).alias("is_rev"), F.substring("seq", 1, 24).alias("seq"))
-    haps = reads.groupBy("site").agg(F.array_sort(F.collect_set("seq")).alias("all")).select("site", F.posexplode(F.slice("all", 1, 2)).alias("allele", "hap"))
+    rows = dna(spark, sf_dir).where("seq <> ''")
+    reads = rows.select((F.col("id") % 5).alias("site"), F.col("id").alias("read_id"), (F.col("id") % 2 == 1).alias("is_rev"), "seq")
+    haps = reads.groupBy("site").agg(F.array_sort(F.collect_set("seq")).alias("all")).select("site", F.posexplode("all").alias("allele", "hap"))
     return align.best_alleles(reads, haps, ["site"])
 
 
