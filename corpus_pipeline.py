@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from strandlake.llm import decontaminate, exact_dedup, language, mixing, near_dedup
-from strandlake.llm.common import materialise
+from strandlake.llm.common import Scratch
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample documents by calibrated probabilities."""
+    """Sample documents by calibrated probabilities; what the mix adds (topic, tokens, factor, probability) stays."""
     return mixing.mix(docs).where("sampled").drop("sampled")
 
 
@@ -48,8 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage returns is written as Parquet and reread as the next one's documents."""
+    """All stages over ``documents``; what a stage returns is written as Parquet and reread as the next one's documents.
+
+    A stage's table is deleted when the next one's is written.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with Scratch(spark) as scratch:
+        for name, stage in STAGES[:-1]:
+            docs = scratch.write(stage(spark, docs, sf_dir), f"stage-{name}")
+        return STAGES[-1][1](spark, scratch.keep(docs), sf_dir)

@@ -1,8 +1 @@
 """Training-data operators: quality, licences, tokens, mixing, dedup, decontamination, toxicity, language."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions travel to the executors by value, so those need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

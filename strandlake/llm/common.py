@@ -1,55 +1,85 @@
-"""What several operators share: materialised tables, row keys, held-out splits."""
+"""What several operators share: tables in the shared folder, row keys, held-out splits, Python on the executors."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir, ship
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="spark-strandlake-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+_written: list[str] = []
 
 
-_written: list[str] = []
+class Scratch:
+    """Tables that an operator writes to the shared folder, which cuts lineage and survives lost executors.
+
+    At the end of the ``with`` block all are deleted but those passed to ``keep``, which a lazy result still reads;
+    ``release`` deletes these too.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        for path in self.paths.values():
+            _delete(self.spark, path)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it back."""
+        path = f"{shared_dir(self.spark)}/strandlake-{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(back)] = path
+        # Held, so that its id stays its own.
+        self.__dict__.setdefault("held", []).append(back)
+        return back
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for table in tables:
+            _delete(self.spark, self.paths.pop(id(table)))
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """``table``, which stays until ``release``."""
+        _written.append(self.paths.pop(id(table)))
+        return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/strandlake-{name}-{uuid.uuid4().hex}"
-    _written.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back; ``release`` deletes it."""
+    with Scratch(df.sparkSession) as scratch:
+        return scratch.keep(scratch.write(df, name))
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the tables that operators have written in this process. Results that were not saved can't be read after that."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    """Delete the tables that results of this process still read. Results that were not saved can't be read after that."""
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _written.pop())
 
 
-#: Bits of a membership bitmap, at most; a bitmap of Spark's holds 32,768 of them in 4 KB, so that at most 2 MB are broadcast.
-FILTER_BITS = 1 << 24
+#: Bits of a membership bitmap, at most; a bitmap of Spark's holds 32,768 of them in 4 KB, so that at most 16 MB are broadcast.
+FILTER_BITS = 1 << 27
 
 
-def maybe_in(df: DataFrame, wanted: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows of ``df`` whose key is, or by chance seems to be, among those of ``wanted``: what a later semi-join has to shuffle.
+def maybe_in(df: DataFrame, wanted: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows of ``df`` whose key is, or by chance seems to be, among the ``n`` of ``wanted``: what a later join has to shuffle.
 
-    One bit a hash of a key, in a table of fixed size, so what is broadcast has a bound whatever the number of keys.
+    One bit a hash of a key, and eight times as many bits as keys up to FILTER_BITS, so what is broadcast has a bound. With many
+    more keys than that bound the bitmap is full and the join shuffles what it would without it.
     """
+    bits = min(FILTER_BITS, 1 << max(15, (8 * n).bit_length()))
     place = lambda: F.pmod(F.xxhash64(key), F.lit(bits))
     marks = wanted.groupBy(F.bitmap_bucket_number(place()).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place())).alias("_bits"))
     joined = df.withColumn("_bucket", F.bitmap_bucket_number(place())).join(F.broadcast(marks), "_bucket")
@@ -62,11 +92,59 @@ def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have, so that no column of the caller's is replaced."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def text_digest(text_col: str = "text") -> Column:
+    """SHA-256 of a text, null as empty, in 32 bytes."""
+    return F.unhex(F.sha2(text_or_empty(text_col), 256))
+
+
+def keep_found(docs: DataFrame, found: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """``docs``, columns as they are, without the rows that ``found`` does not keep.
+
+    ``found`` has doc_id, digest and kept, one row per row of ``docs``. Rows are found again by id and text, so rows that share
+    one of them are told apart; of rows that share both, one stays if any is kept. What goes is written first, so that Spark
+    knows its size when it chooses how to join.
+    """
+    keys = found.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    odd = scratch.write(keys.where("not kept or n > 1").select(_key(F.col("doc_id"), F.col("digest")).alias("k"), "kept"), "not-kept")
+    name = fresh(docs, "_key")
+    keyed = docs.withColumn(name, _key(F.col(id_col).cast("long"), text_digest(text_col)))
+    rest = keyed.join(scratch.keep(odd).select(F.col("k").alias(name)), name, "left_anti").select(*docs.columns)
+    twice = odd.where("kept").select(F.col("k").alias(name))
+    if twice.isEmpty():
+        return rest
+    # Rows that repeat wholly: their other columns may differ, and one row of each stays as it is.
+    whole = keyed.join(twice, name, "left_semi").groupBy(name).agg(F.first(F.struct(*[keyed[f"`{c}`"] for c in docs.columns])).alias("row_"))
+    return rest.unionByName(whole.select("row_.*"))
+
+
+def _key(doc_id: Column, digest: Column) -> Column:
+    return F.sha2(F.concat(digest, F.coalesce(doc_id.cast("string"), F.lit("none")).cast("binary")), 256)
+
+
 def crc_bucket(modulus: int, key: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``modulus``: the split that keeps rows out of training."""
     return F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(modulus))
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Long texts: bound the rows of an Arrow batch so that a Python worker's memory stays bounded."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Rows of a batch that a Python worker handles at once; texts are long, and a worker's memory has a bound.
+BATCH_ROWS = 256
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: object) -> DataFrame:
+    """``df.mapInArrow`` with this package on the executors and batches of at most BATCH_ROWS rows, whatever the session's setting."""
+    ship(df.sparkSession)
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batch.slice(at, BATCH_ROWS) for batch in batches for at in range(0, batch.num_rows, BATCH_ROWS))
+
+    return df.mapInArrow(small, schema)
+
+

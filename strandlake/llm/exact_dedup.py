@@ -15,22 +15,21 @@ ones and rows to run entries, so such a group is never in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_or_empty
+from .common import Scratch, keep_found, text_digest, text_or_empty
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_no: Column | None = None) -> DataFrame:
+def digests(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, a row number unique in the table, digest and byte length; written once."""
-    text = text_or_empty(text_col)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
-        F.unhex(F.sha2(text, 256)).alias("digest"),
-        F.octet_length(text).cast("long").alias("n_bytes"),
-        (F.monotonically_increasing_id() if row_no is None else row_no).alias("row_no"),
+        text_digest(text_col).alias("digest"),
+        F.octet_length(text_or_empty(text_col)).cast("long").alias("n_bytes"),
+        F.monotonically_increasing_id().alias("row_no"),
     )
-    return materialise(rows, "digests")
+    return scratch.write(rows, "digests")
 
 
 def exact_groups(rows: DataFrame, radix: int = 8, rounds: int = 2) -> DataFrame:
@@ -69,16 +68,17 @@ def exact_groups(rows: DataFrame, radix: int = 8, rounds: int = 2) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radix: int = 8, rounds: int = 2) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``, dropped ones too."""
-    return exact_groups(digests(docs, id_col, text_col), radix, rounds).drop("digest", "row_no")
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of ``docs``, dropped ones too; cases as in ``exact_groups``.
 
+    Other columns are not read; texts are read whole, however long.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.keep(digests(docs, scratch, id_col, text_col))
+        return exact_groups(rows, radix, rounds).drop("digest", "row_no")
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without its dropped copies, columns as they are. Rows that repeat wholly (id and text) leave one row.
 
-    The rows are numbered and written once, so that dropped ones are found again by a key that no two rows share.
-    """
-    numbered = materialise(docs.withColumn("_strandlake_row", F.monotonically_increasing_id()), "numbered")
-    found = exact_groups(digests(numbered, id_col, text_col, F.col("_strandlake_row")))
-    gone = found.where(~F.col("kept")).select(F.col("row_no").alias("_strandlake_row"))
-    return numbered.join(gone, "_strandlake_row", "left_anti").select(*docs.columns)
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without its dropped copies, columns as they are. Rows that repeat wholly (id and text) leave one row."""
+    with Scratch(docs.sparkSession) as scratch:
+        found = exact_groups(digests(docs, scratch, id_col, text_col))
+        return keep_found(docs, found, scratch, id_col, text_col)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import map_batches
 from .textbatch import Block, Words, blocks, hash_word, words
 
 THRESHOLD, WINDOW = 0.8, 64
@@ -166,8 +166,7 @@ def document_counts(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TE
                 counts += np.bincount(pairs % len(lookup), minlength=len(lookup))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(lookup))), pa.array(counts)], names=["k", "n"])
 
-    small_batches(docs.sparkSession)
-    sums = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    sums = map_batches(docs.select(F.col(text_col).alias("text")), run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
     return {int(lookup[r["k"]]): r["n"] for r in sums.collect()}
 
 
@@ -198,7 +197,6 @@ def scan(
 
     Null text is empty: 0 words, no labels, score 0. score is the best containment, 1 where a base phrase stands.
     """
-    small_batches(docs.sparkSession)
     often = document_counts(docs, templates, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +233,7 @@ def scan(
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
-    return rows.mapInArrow(run, schema)
+    return map_batches(rows, run, schema)
 
 
 def oracle_sql(threshold: float = THRESHOLD, window: int = WINDOW) -> str:

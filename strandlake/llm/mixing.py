@@ -17,9 +17,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import fresh, text_or_empty
 
 DIMENSIONS = ("source", "lang", "topic")
+OUTPUT = ("mix_topic", "mix_tokens", "mix_factor", "mix_prob", "sampled")
 #: For each dimension the power to which its token shares are raised to give its targets: 1 keeps them, 0 makes all values equal.
 TEMPERATURES = {"source": 0.5, "lang": 0.5, "topic": 0.7}
 ROUNDS, SHARE, NONE = 8, 0.6, "(none)"
@@ -141,55 +142,37 @@ def uniform(id_col: str) -> Column:
     return F.conv(head, 16, 10).cast("double") / 2.0**32
 
 
-def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with the dimensions under names of their own; a missing source or language is a value too."""
-    named = {f"_mix_{d}": F.coalesce(F.col(d).cast("string"), F.lit(NONE)) for d in ("source", "lang")}
-    return docs.withColumns(named | {"_mix_topic": topic_of(text_col), "_mix_tokens": token_weight(text_col)})
-
-
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: dict | None = None, rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    targets: dict | None = None,
+    rounds: int = ROUNDS,
+    share: float = SHARE,
+    topic: Column | None = None,
+    tokens: Column | None = None,
+) -> DataFrame:
     """``docs`` plus mix_topic, mix_tokens, mix_factor, mix_prob and sampled (columns of these names are replaced).
 
-    ``share``: the part of all tokens to sample; less is sampled if the targets can't be met so (see ``calibrate``). Rows that share an id
-    are sampled together if their cells agree. An empty table gives an empty result.
+    ``share``: the part of all tokens to sample; less is sampled if the targets can't be met so (see ``calibrate``). ``topic`` and
+    ``tokens``: a document's topic and weight, by default ``topic_of`` and ``token_weight``. A missing source, language or topic
+    is a value too; a missing or negative weight is 0. A target of 0 leaves a value out; a target for a value that no row has is
+    passed over. Null texts are empty. Rows that share an id are sampled together if their cells agree.
+    An empty table gives an empty result.
     """
-    keyed = _keyed(docs, text_col)
-    cells = keyed.groupBy(*[F.col(f"_mix_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("_mix_tokens").alias("tokens"))
+    names = {d: fresh(docs, f"_mix_{d}") for d in (*DIMENSIONS, "tokens", "factor", "prob")}
+    values = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(text_col) if topic is None else topic}
+    weight = token_weight(text_col) if tokens is None else F.greatest(F.coalesce(tokens.cast("double"), F.lit(0.0)), F.lit(0.0))
+    keyed = docs.withColumns({names[d]: F.coalesce(value.cast("string"), F.lit(NONE)) for d, value in values.items()} | {names["tokens"]: weight})
+    cells = keyed.groupBy(*[F.col(names[d]).alias(d) for d in DIMENSIONS]).agg(F.sum(names["tokens"]).alias("tokens"))
     raked = rake(cells, targets or TEMPERATURES, rounds, share)
-    raked = raked.select(*[F.col(d).alias(f"_mix_{d}") for d in DIMENSIONS], F.col("factor").alias("_mix_factor"), F.col("prob").alias("_mix_prob"))
-    joined = keyed.join(raked, [f"_mix_{d}" for d in DIMENSIONS])
-    prob = F.col("_mix_prob")
+    raked = raked.select(*[F.col(d).alias(names[d]) for d in (*DIMENSIONS, "factor", "prob")])
+    joined = keyed.join(raked, [names[d] for d in DIMENSIONS])
     return joined.select(
-        *[joined[c] for c in docs.columns if c not in ("mix_topic", "mix_tokens", "mix_factor", "mix_prob", "sampled")],
-        F.col("_mix_topic").alias("mix_topic"),
-        F.col("_mix_tokens").cast("long").alias("mix_tokens"),
-        F.col("_mix_factor").alias("mix_factor"),
-        prob.alias("mix_prob"),
-        (uniform(id_col) < prob).alias("sampled"),
+        *[joined[f"`{c}`"] for c in docs.columns if c.lower() not in OUTPUT],
+        F.col(names["topic"]).alias("mix_topic"),
+        F.col(names["tokens"]).cast("long").alias("mix_tokens"),
+        F.col(names["factor"]).alias("mix_factor"),
+        F.col(names["prob"]).alias("mix_prob"),
+        (uniform(id_col) < F.col(names["prob"])).alias("sampled"),
     )
-
-
-def oracle_sql(rounds: int = ROUNDS, share: float = SHARE) -> str:
-    """The query ``op4`` in DuckDB's SQL."""
-    dims = ", ".join(DIMENSIONS)
-    ctes = [
-        f"""keyed AS (SELECT doc_id, coalesce(source, '{NONE}') AS source, coalesce(lang, '{NONE}') AS lang,
-            CASE WHEN contains(t, ' | ') THEN 'tables' WHEN contains(t, '***') THEN 'markup' WHEN contains(t, '@') THEN 'contact' ELSE 'prose' END AS topic,
-            greatest(ceil(strlen(t) / 4), 1)::DOUBLE AS tokens FROM (SELECT *, coalesce(text, '') AS t FROM documents))""",
-        f"base AS (SELECT {dims}, sum(tokens) AS tokens FROM keyed GROUP BY ALL)",
-        "whole AS (SELECT sum(tokens) AS total FROM base)",
-    ]
-    for d in DIMENSIONS:
-        ctes.append(f"sum_{d} AS (SELECT {d}, pow(sum(tokens), {TEMPERATURES[d]}) AS p FROM base GROUP BY {d})")
-        ctes.append(f"to_{d} AS (SELECT {d}, p / (SELECT sum(p) FROM sum_{d}) * (SELECT total FROM whole) AS goal FROM sum_{d})")
-    ctes.append(f"w0 AS (SELECT {dims}, tokens, tokens AS w FROM base)")
-    last = 0
-    for _ in range(rounds):
-        for d in DIMENSIONS:
-            ctes.append(f"w{last + 1} AS MATERIALIZED (SELECT {dims}, tokens, w * goal / sum(w) OVER (PARTITION BY {d}) AS w FROM w{last} JOIN to_{d} USING ({d}))")
-            last += 1
-    ctes.append(f"factors AS (SELECT {dims}, w / tokens * ((SELECT total FROM whole) / (SELECT sum(w) FROM w{last})) AS factor FROM w{last})")
-    return f"""WITH {", ".join(ctes)}
-    SELECT doc_id, topic, tokens::BIGINT AS tokens, round(factor, 6) AS factor, round(least(1.0, {share} * factor), 6) AS prob,
-        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0 < least(1.0, {share} * factor) AS sampled
-    FROM keyed JOIN factors USING ({dims})"""

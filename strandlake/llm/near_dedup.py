@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, maybe_in, small_batches, text_or_empty
+from .common import Scratch, keep_found, map_batches, maybe_in, text_digest, text_or_empty
 from .components import components
 from .textbatch import GOLDEN, blocks, mix64, row_counts, shingles, words
 
@@ -127,7 +127,7 @@ def _verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return joined.where(shared >= F.lit(threshold) * (F.size("bag_a") + F.size("bag_b") - shared) - F.lit(1e-9)).select("a", "b")
 
 
-def _prefix_pairs(rest: DataFrame, threshold: float) -> DataFrame:
+def _prefix_pairs(rest: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """Pairs (a, b) of different roots that can reach the threshold, by prefix, length and positional filters.
 
     Elements are ordered from rare to common. Of two multisets that reach it, the shorter one's first
@@ -143,7 +143,7 @@ def _prefix_pairs(rest: DataFrame, threshold: float) -> DataFrame:
     heads = ranked.withColumn("alone", alone).where(reach > 0).withColumn("order", F.slice("order", F.lit(1), reach.cast("int")))
     posts = heads.select("node", "root", "n", "alone", F.posexplode("order"))
     posts = posts.select(F.col("col.element").alias("element"), (F.col("alone") + F.col("pos") + 1).alias("pos"), "node", "root", "n")
-    posts = materialise(posts, "prefixes")
+    posts = scratch.write(posts, "prefixes")
     one, two = (posts.select("element", *[F.col(c).alias(f"{c}_{side}") for c in ("pos", "node", "root", "n")]) for side in "xy")
     one = one.where(F.col("pos_x") <= F.col("n_x") - F.ceil(F.lit(2 * threshold / (1 + threshold)) * F.col("n_x") - F.lit(1e-9)) + 1)
     longer = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
@@ -169,92 +169,88 @@ def near_groups(
     links of weighted Jaccard similarity >= ``threshold`` over multisets of ``shingle``-word shingles; texts
     with fewer words, but some, are one shingle. kept: the row of class_id; of rows that share that id too, one. Texts
     without words (null, empty, punctuation alone) are linked to equal texts only. Rows are told apart by a number of their
-    own, so rows that share an id, or have none, are linked by their texts alone. Null ids count as smallest.
+    own, so rows that share an id, or have none, are linked by their texts alone. Null ids count as smallest. An empty table
+    gives an empty result; texts are read whole, however long; other columns are not read.
     """
-    return numbered_groups(docs, F.monotonically_increasing_id(), id_col, text_col, shingle, threshold, bands, rows).drop("row_no")
+    with Scratch(docs.sparkSession) as scratch:
+        return scratch.keep(_groups(docs, scratch, id_col, text_col, shingle, threshold, bands, rows)).drop("digest")
 
 
-def numbered_groups(
-    docs: DataFrame,
-    row_no: Column,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = SHINGLE,
-    threshold: float = THRESHOLD,
-    bands: int = BANDS,
-    rows: int = ROWS,
-) -> DataFrame:
-    """``near_groups`` plus row_no, a number unique in the table."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    text = text_or_empty(text_col)
-    digest = F.unhex(F.sha2(text, 256))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("digest"), row_no.alias("row_no"), text.alias("text"))
-    signed = source.mapInArrow(
+def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, shingle: int, threshold: float, bands: int, rows: int) -> DataFrame:
+    """``near_groups`` plus digest, written."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(text_col).alias("digest"), F.monotonically_increasing_id().alias("row_no"), text_or_empty(text_col).alias("text"))
+    signed = map_batches(
+        source,
         lambda batches: _signature_batches(batches, shingle, bands, rows),
         "doc_id long, digest binary, row_no long, weight long, bands array<long>",
     )
-    signed = materialise(signed, "signatures")
+    signed = scratch.write(signed, "signatures")
 
     # Equal texts: one node, the number of one of their rows, speaks for all of them.
     reps = signed.groupBy("digest").agg(F.min("row_no").alias("node"), F.min(F.struct("doc_id")).alias("rep"))
-    reps = materialise(reps.select("digest", "node", F.col("rep.doc_id").alias("rep_id")), "representatives")
+    reps = scratch.write(reps.select("digest", "node", F.col("rep.doc_id").alias("rep_id")), "representatives")
     slots = signed.select("digest", "row_no", "doc_id", F.pmod("row_no", F.lit(64)).alias("salt"))
     heads = slots.groupBy("digest", "salt").agg(F.count(F.lit(1)).alias("n")).join(reps, "digest").drop("n")
-    members = slots.join(heads, ["digest", "salt"]).select("row_no", "doc_id", "node", "rep_id")
-    members = materialise(members, "members")
+    members = scratch.write(slots.join(heads, ["digest", "salt"]).select("row_no", "doc_id", "digest", "node", "rep_id"), "members")
 
     lone = reps.select(F.col("node").alias("row_no"))
     entries = signed.join(lone, "row_no", "left_semi").select(F.col("row_no").alias("node"), F.explode("bands").alias("bucket"))
     heads = entries.groupBy("bucket").agg(
         F.min("node").alias("head"), F.max("node").alias("tail"), F.count(F.lit(1)).alias("n")
     ).where("n > 1 and head < tail").drop("n")
-    held = materialise(entries.join(heads, "bucket").select("bucket", "node", "head", "tail"), "buckets")
+    held = scratch.write(entries.join(heads, "bucket").select("bucket", "node", "head", "tail"), "buckets")
+    scratch.drop(signed)
 
     stars = held.select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(
         held.select(F.col("node").alias("a"), F.col("tail").alias("b"))
     )
-    stars = materialise(stars.where("a < b").distinct(), "star-pairs")
-    wanted = materialise(stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct(), "wanted")
+    stars = scratch.write(stars.where("a < b").distinct(), "star-pairs")
+    wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     # The texts are found again by their digests: equal ones are one node.
-    wanted_texts = materialise(reps.join(wanted, "node", "left_semi").select("digest", "node"), "wanted-texts")
-    texts = docs.select(digest.alias("digest"), text.alias("text"))
-    texts = maybe_in(texts, wanted_texts, "digest").join(wanted_texts, "digest").select("node", "text").dropDuplicates(["node"])
-    bags = materialise(texts.mapInArrow(lambda batches: _bag_batches(batches, shingle), "node long, bag array<long>"), "bags")
-    links = materialise(_verified(stars, bags, threshold), "star-links")
-    grouped = components(links)
+    wanted = scratch.write(reps.join(wanted, "node", "left_semi").select("digest", "node"), "wanted-texts")
+    texts = docs.select(text_digest(text_col).alias("digest"), text_or_empty(text_col).alias("text"))
+    texts = maybe_in(texts, wanted, "digest", wanted.count()).join(wanted, "digest").select("node", "text").dropDuplicates(["node"])
+    bags = scratch.write(map_batches(texts, lambda batches: _bag_batches(batches, shingle), "node long, bag array<long>"), "bags")
+    links = scratch.write(_verified(stars, bags, threshold), "star-links")
+    grouped = components(links, scratch)
 
     # Buckets that stars left in different components: an exact prefix join of their members finds what links them.
     placed = held.select("bucket", "node").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     rest = placed.join(split, "bucket").select("node", "root").distinct()
-    pairs = materialise(_prefix_pairs(rest.join(bags, "node"), threshold).join(stars, ["a", "b"], "left_anti"), "rest-pairs")
+    pairs = scratch.write(_prefix_pairs(rest.join(bags, "node"), threshold, scratch).join(stars, ["a", "b"], "left_anti"), "rest-pairs")
     if not pairs.isEmpty():
-        grouped = components(links.unionByName(_verified(pairs, bags, threshold)))
+        grouped = components(links.unionByName(_verified(pairs, bags, threshold)), scratch)
 
     roots = members.join(grouped, "node", "left")
-    roots = roots.select("row_no", "doc_id", "rep_id", F.coalesce("root", "node").alias("root"))
-    roots = materialise(roots, "classes")
+    roots = scratch.write(roots.select("row_no", "doc_id", "digest", "rep_id", F.coalesce("root", "node").alias("root")), "classes")
     sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("doc_id", "row_no")).alias("top")).where("size > 1")
     few = roots.select("root", F.pmod("row_no", F.lit(64)).alias("salt")).distinct().join(sizes, "root")
     sized = roots.withColumn("salt", F.pmod("row_no", F.lit(64))).join(few, ["root", "salt"], "left")
     alone = F.col("top").isNull()
-    return sized.select(
-        "doc_id",
-        "rep_id",
-        F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("class_id"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        (alone | (F.col("top.row_no") == F.col("row_no"))).alias("kept"),
-        "row_no",
+    return scratch.write(
+        sized.select(
+            "doc_id",
+            "rep_id",
+            F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("class_id"),
+            F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
+            (alone | (F.col("top.row_no") == F.col("row_no"))).alias("kept"),
+            "digest",
+        ),
+        "groups",
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, columns as they are.
-
-    The rows are numbered and written once, so that dropped ones are found again by a key that no two rows share.
-    """
-    numbered = materialise(docs.withColumn("_strandlake_row", F.monotonically_increasing_id()), "numbered")
-    found = numbered_groups(numbered, F.col("_strandlake_row"), id_col, text_col, **options)
-    gone = found.where(~F.col("kept")).select(F.col("row_no").alias("_strandlake_row"))
-    return numbered.join(gone, "_strandlake_row", "left_anti").select(*docs.columns)
+def drop_near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = SHINGLE,
+    threshold: float = THRESHOLD,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group, columns as they are; cases as in ``near_groups``."""
+    with Scratch(docs.sparkSession) as scratch:
+        found = _groups(docs, scratch, id_col, text_col, shingle, threshold, bands, rows)
+        return keep_found(docs, found, scratch, id_col, text_col)

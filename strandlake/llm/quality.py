@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, small_batches
+from .common import Scratch, crc_bucket, fresh, map_batches
 from .sampling import labelled_sample
 from .textbatch import Block, Words, blocks, row_counts, words
 
@@ -152,9 +152,10 @@ def _numbers(column: pa.Array) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = TRAIN_ROWS) -> FactorisationMachine:
-    """Fit on at most ``rows`` labelled rows. Without any, every score is one half."""
-    small_batches(docs.sparkSession)
-    sample = labelled_sample(docs.withColumn("_n_chars", _metadata(docs)), labels, "quality", held_out, rows, ("_n_chars",))
+    """Fit on at most ``rows`` labelled documents, chosen by ``labelled_sample``; labels that are null or of no document are passed over.
+
+    Without any labelled document, or with empty tables, every score is one half.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +174,10 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = TRAI
                     names=["label", "items", "vals", "stats"],
                 )
 
-    got = sample.mapInArrow(run, "label int, items array<int>, vals array<float>, stats array<double>").collect()
+    chars = fresh(docs, "_n_chars")
+    with Scratch(docs.sparkSession) as scratch:
+        sample = labelled_sample(docs.withColumn(chars, _metadata(docs)), labels, "quality", held_out, rows, scratch, (chars,))
+        got = map_batches(sample, run, "label int, items array<int>, vals array<float>, stats array<double>").collect()
     got = sorted(got, key=lambda r: (r["label"], r["stats"]))
     model = FactorisationMachine()
     if not got:
@@ -192,9 +196,12 @@ def _metadata(docs: DataFrame) -> Column:
 
 
 def score(docs: DataFrame, model: FactorisationMachine, cut: float = CUT) -> DataFrame:
-    """doc_id, score, predicted: one row per row of ``docs``; null text is empty, and empty text is scored too."""
+    """doc_id, score, predicted: one row per row of ``docs``, rows that repeat or share an id too.
+
+    Null text is empty, and empty text is scored too; a null ``n_chars`` is the text's length. Texts are read whole. Of the other columns none is read. An
+    empty table gives an empty result.
+    """
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(vars(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +216,7 @@ def score(docs: DataFrame, model: FactorisationMachine, cut: float = CUT) -> Dat
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", _metadata(docs).alias("n_chars"))
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    return map_batches(rows, run, "doc_id long, score double, predicted int")
 
 
 def held_out() -> Column:

@@ -83,7 +83,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op2_license_scan": license_scan.oracle_sql(),
-    "op4_mixing": mixing.oracle_sql(),
     "op5_line_dedup": line_dedup.oracle_sql(),
     "op6_decontamination": decontaminate.oracle_sql(),
     "op9_exact_dedup": """

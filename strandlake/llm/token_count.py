@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import map_batches, text_or_empty
 
 #: Runs of letters, digits or other marks, each with one blank before it if there is one; else white space.
 WORD = re.compile(r" ?[^\W\d_]+| ?\d+| ?[^\s\w]+| ?_+|\s+")
@@ -113,7 +113,6 @@ class Automaton:
 def count_tokens(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_words, n_tokens: one row per row of ``docs``; null text is empty and has 0 of each."""
     spark = docs.sparkSession
-    small_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,4 +126,4 @@ def count_tokens(docs: DataFrame, vocabulary: list[bytes], id_col: str = "doc_id
 
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_words long, n_tokens long")
+    return map_batches(rows, run, "doc_id long, n_bytes long, n_words long, n_tokens long")

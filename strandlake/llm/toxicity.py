@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, small_batches
+from .common import Scratch, crc_bucket, map_batches
 from .sampling import labelled_sample
 from .textbatch import LOWER, Block, blocks
 
@@ -68,16 +68,23 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def train(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
-    """One weight a hash, and the bias, fitted on at most ``rows`` labelled rows. Without both classes, scores are the prior."""
-    small_batches(docs.sparkSession)
-    sample = labelled_sample(docs, labels, "toxic", held_out, rows)
+    """One weight a hash, and the bias, fitted on at most ``rows`` labelled documents, chosen by ``labelled_sample``.
+
+    Labels that are null or of no document are passed over. Without both classes, or with empty tables, scores are the prior.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        return _fit(labelled_sample(docs, labels, "toxic", held_out, rows, scratch))
+
+
+def _fit(sample: DataFrame) -> tuple[np.ndarray, float]:
+    """Weights and bias from label and text of a bounded sample, whose texts are read where they are."""
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     bias = float(np.log((n1 + 0.5) / (n0 + 0.5)))
     weights = np.zeros(1 << BITS)
     if not n0 or not n1:
         return weights, bias
-    counts = sample.mapInArrow(_count_batches, "h long, c0 long, c1 long").groupBy("h").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    counts = map_batches(sample, _count_batches, "h long, c0 long, c1 long").groupBy("h").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
     both = F.col("c0") + F.col("c1")
     ratio = F.log((F.col("c1") + 1) / (n1 + 2)) - F.log((F.col("c0") + 1) / (n0 + 2))
     p = (both + 1) / (n0 + n1 + 2)
@@ -98,7 +105,7 @@ def train(docs: DataFrame, labels: DataFrame, held_out: Column, rows: int = TRAI
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashed.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, len(block)), lists], names=["label", "found"])
 
-    got = sample.mapInArrow(run, "label int, found array<int>").collect()
+    got = map_batches(sample, run, "label int, found array<int>").collect()
     place = np.zeros(1 << BITS, dtype=np.int64)
     place[hashes] = np.arange(len(hashes))
     row = np.repeat(np.arange(len(got)), [len(g["found"]) for g in got])
@@ -124,11 +131,13 @@ def _logistic(row: np.ndarray, item: np.ndarray, value: np.ndarray, label: np.nd
 
 
 def score(docs: DataFrame, weights: np.ndarray, bias: float, cut: float = CUT) -> DataFrame:
-    """doc_id, score, predicted: one row per row of ``docs``; null text is empty, and empty text is scored too."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    """doc_id, score, predicted: one row per row of ``docs``, rows that repeat or share an id too.
+
+    Null text is empty, and empty text is scored too. Texts are read whole. Of the other columns none is read. An empty
+    table gives an empty result.
+    """
     used = np.flatnonzero(weights)
-    shared = spark.sparkContext.broadcast((used, weights[used], bias))
+    shared = docs.sparkSession.sparkContext.broadcast((used, weights[used], bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used, values, bias = shared.value
@@ -146,7 +155,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, cut: float = CUT) -
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, "doc_id long, score double, predicted int")
+    return map_batches(rows, run, "doc_id long, score double, predicted int")
 
 
 def held_out() -> Column:
