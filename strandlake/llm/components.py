@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", scratch: Scratch | None = None) -> DataFrame:
     """(node, root) for every node of ``links``: root is the smallest node of its component.
 
     Self links are allowed. Every round is a few equi-joins over link rows; only counts reach the driver. The rounds end: they are
-    about the logarithm of the longest shortest path, each table of a round goes as soon as the next is written.
+    about the logarithm of the longest shortest path, each table of a round goes as soon as the next is written. Without a
+    ``scratch`` the last one stays until ``release``.
     """
+    if scratch is None:
+        with Scratch(links.sparkSession) as own:
+            found = components(links, a, b, own)
+            return own.keep(own.write(found, "components"))
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = scratch.write(edges, "links")
     while True:

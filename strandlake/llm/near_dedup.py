@@ -212,7 +212,7 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, shing
     texts = maybe_in(texts, wanted, "digest", wanted.count()).join(wanted, "digest").select("node", "text").dropDuplicates(["node"])
     bags = scratch.write(map_batches(texts, lambda batches: _bag_batches(batches, shingle), "node long, bag array<long>"), "bags")
     links = scratch.write(_verified(stars, bags, threshold), "star-links")
-    grouped = components(links, scratch)
+    grouped = components(links, scratch=scratch)
 
     # Buckets that stars left in different components: an exact prefix join of their members finds what links them.
     placed = held.select("bucket", "node").join(grouped, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -220,7 +220,7 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, shing
     rest = placed.join(split, "bucket").select("node", "root").distinct()
     pairs = scratch.write(_prefix_pairs(rest.join(bags, "node"), threshold, scratch).join(stars, ["a", "b"], "left_anti"), "rest-pairs")
     if not pairs.isEmpty():
-        grouped = components(links.unionByName(_verified(pairs, bags, threshold)), scratch)
+        grouped = components(links.unionByName(_verified(pairs, bags, threshold)), scratch=scratch)
 
     roots = members.join(grouped, "node", "left")
     roots = scratch.write(roots.select("row_no", "doc_id", "digest", "rep_id", F.coalesce("root", "node").alias("root")), "classes")
