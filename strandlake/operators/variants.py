@@ -28,16 +28,20 @@ def trim(pos: Column, ref: Column, alt: Column) -> Column:
 
 
 def classify(ref: Column, alts: Column) -> Column:
-    """snp, mnp, sni, mni, snd, mnd, indel or other."""
+    """snp, mnp, sni, mni, snd, mnd, indel or other.
+
+    Lengths that differ make an insertion or a deletion only where all alleles keep the first base of the reference, or all its last.
+    """
     n = F.length(ref)
     every = lambda test: F.forall(alts, test)
-    grows = every(lambda a: (F.length(a) > n) & a.startswith(ref))
-    shrinks = every(lambda a: (F.length(a) < n) & ref.startswith(a))
+    change = lambda test: every(lambda a: test(F.length(a) - n))
+    anchored = every(lambda a: F.left(a, F.lit(1)) == F.left(ref, F.lit(1))) | every(lambda a: F.right(a, F.lit(1)) == F.right(ref, F.lit(1)))
     return (
-        F.when(every(lambda a: F.length(a) == n), F.when(n == 1, "snp").otherwise("mnp"))
-        .when(grows, F.when(every(lambda a: F.length(a) == n + 1), "sni").otherwise("mni"))
-        .when(shrinks, F.when(every(lambda a: F.length(a) == n - 1), "snd").otherwise("mnd"))
-        .when(every(lambda a: F.length(a) != n), "indel")
+        F.when(change(lambda d: d == 0), F.when(n == 1, "snp").otherwise("mnp"))
+        .when(~anchored, "other")
+        .when(change(lambda d: d > 0), F.when(change(lambda d: d == 1), "sni").otherwise("mni"))
+        .when(change(lambda d: d < 0), F.when(change(lambda d: d == -1), "snd").otherwise("mnd"))
+        .when(change(lambda d: d != 0), "indel")
         .otherwise("other")
     )
 
