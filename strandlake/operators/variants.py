@@ -197,6 +197,29 @@ def homozygous_gaps(df: DataFrame, least: int = 1000) -> DataFrame:
     return gaps.where(F.col("end") - F.col("pos") >= least).select("chrom", F.col("pos").alias("start"), "end")
 
 
+def zygosity_regions(mixed: DataFrame, regions: DataFrame, least: int = 1000, width: int = 100_000) -> DataFrame:
+    """chrom, region_start, region_end, kind, start, end: each region (chrom, start, end) in homozygous and heterozygous stretches.
+
+    ``mixed`` holds the heterozygous records (chrom, pos, ref); each takes all bases of its ref. A homozygous stretch leads from a
+    region's start or a base so taken to the next one or the region's end, ``least`` (two or more) bases or longer. A heterozygous
+    one is what lies between homozygous ones, if longer than ``least``. Records may overlap one another or a region's ends.
+    """
+    spans = mixed.select("chrom", F.col("pos").alias("start"), (F.col("pos") + F.length("ref")).alias("end"))
+    wanted = regions.select("chrom", "start", "end").distinct()
+    key = ["chrom", "region_start", "region_end"]
+    hits = intervals.overlap_join(wanted, spans, ["chrom"], width)
+    taken = hits.select(F.col("a_chrom").alias("chrom"), F.col("a_start").alias("region_start"), F.col("a_end").alias("region_end"), F.col("b_start").alias("first"), (F.col("b_end") - 1).alias("last"))
+    bounds = wanted.select("chrom", F.col("start").alias("region_start"), F.col("end").alias("region_end"), F.explode(F.array("start", "end")).alias("first"))
+    before = W.partitionBy(*key).orderBy("first", "last").rowsBetween(W.unboundedPreceding, -1)
+    gaps = taken.unionByName(bounds.withColumn("last", F.col("first"))).withColumn("from", F.max("last").over(before))
+    same = gaps.where(F.col("first") - F.col("from") >= least).select(*key, F.col("from").alias("start"), F.col("first").alias("end"))
+    last = wanted.select("chrom", F.col("start").alias("region_start"), F.col("end").alias("region_end"), F.col("end").alias("start"), F.lit(None).cast("long").alias("end"))
+    left = F.coalesce(F.lag("end").over(W.partitionBy(*key).orderBy("start")), F.col("region_start"))
+    other = same.unionByName(last).withColumn("left", left).where(F.col("start") - F.col("left") > least)
+    other = other.select(*key, F.lit("heterozygous").alias("kind"), F.col("left").alias("start"), F.col("start").alias("end"))
+    return same.select(*key, F.lit("homozygous").alias("kind"), "start", "end").unionByName(other)
+
+
 def padded_haplotypes(df: DataFrame, reference: DataFrame, pad: int) -> DataFrame:
     """Each record with haps: the reference and each allele within ``pad`` bases on both sides; a ref that is not the reference's is an error."""
     joined = df.join(reference.select("chrom", F.col("seq").alias("_seq")), "chrom")

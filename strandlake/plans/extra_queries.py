@@ -60,6 +60,19 @@ def var12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.homozygous_gaps(sites, 5).groupBy("chrom").agg(F.count(F.lit(1)).alias("n_gaps"), F.sum(size).alias("homozygous"), F.max(size).alias("longest"))
 
 
+@query("var12_zygosity_regions", """WITH p AS (SELECT DISTINCT l_suppkey AS chrom, unnest(range(l_partkey, l_partkey + l_linenumber)) AS pos FROM lineitem WHERE l_returnflag = 'R'),
+    s AS (SELECT chrom, pos FROM p WHERE pos >= 100 AND pos < 1900 UNION SELECT DISTINCT l_suppkey, unnest([100, 1900]) FROM lineitem),
+    a AS (SELECT chrom, pos AS first, lead(pos) OVER (PARTITION BY chrom ORDER BY pos) AS next FROM s), g AS (SELECT chrom, first, next FROM a WHERE next - first >= 5),
+    b AS (SELECT chrom, 100 AS first FROM (SELECT DISTINCT chrom FROM s) UNION ALL SELECT chrom, next FROM g), e AS (SELECT chrom, first AS stop FROM g UNION ALL SELECT DISTINCT chrom, 1900 FROM s),
+    h AS (SELECT chrom, first, (SELECT min(stop) FROM e WHERE e.chrom = b.chrom AND e.stop >= b.first) AS next FROM b)
+    SELECT chrom, 'homozygous' AS kind, first::BIGINT AS "start", next::BIGINT AS "end" FROM g UNION ALL SELECT chrom, 'heterozygous', first::BIGINT, next::BIGINT FROM h WHERE next - first > 5""")
+def var12_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    mixed = lines.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("chrom"), F.col("l_partkey").alias("pos"), F.repeat(F.lit("N"), F.col("l_linenumber").cast("int")).alias("ref"))
+    regions = lines.select(F.col("l_suppkey").alias("chrom"), F.lit(100).cast("long").alias("start"), F.lit(1900).cast("long").alias("end"))
+    return variants.zygosity_regions(mixed, regions, 5, 1000).select("chrom", "kind", "start", "end")
+
+
 @query("rmx1_read_slots")
 def rmx1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as reads of a customer: matrix row of each, by the greedy rule. No SQL: a greedy order."""
