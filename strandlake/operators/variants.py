@@ -27,6 +27,17 @@ def trim(pos: Column, ref: Column, alt: Column) -> Column:
     return F.struct((pos + head).cast("long").alias("pos"), F.substr(r, head + 1, F.length(r)).alias("ref"), F.substr(a, head + 1, F.length(a)).alias("alt"))
 
 
+def trim_alleles(pos: Column, ref: Column, alts: Column) -> Column:
+    """struct<pos, ref, alt>: as ``trim``, for bases that the reference and all of ``alts`` share."""
+    shortest = F.array_min(F.transform(F.concat(F.array(ref), alts), F.length))
+    steps = lambda n: F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
+    same = lambda i: F.forall(alts, lambda a: F.substr(a, i, F.lit(1)) == F.substr(ref, i, F.lit(1)))
+    tail = F.aggregate(steps(shortest - 1), F.lit(0), lambda k, i: F.when((k == i - 1) & same(-i), i).otherwise(k))
+    head = F.aggregate(steps(shortest - tail - 1), F.lit(0), lambda k, i: F.when((k == i - 1) & same(i), i).otherwise(k))
+    rest = lambda a: F.substr(a, head + 1, F.length(a) - tail - head)
+    return F.struct((pos + head).cast("long").alias("pos"), rest(ref).alias("ref"), F.transform(alts, rest).alias("alt"))
+
+
 def classify(ref: Column, alts: Column) -> Column:
     """snp, mnp, sni, mni, snd, mnd, indel or other.
 
@@ -164,7 +175,8 @@ def merge_haplotypes(hap1: DataFrame, hap2: DataFrame, reference: DataFrame) ->
     """Two haploid call sets (chrom, pos, ref, alt, qual) as one diploid: overlapping or touching calls become one record.
 
     Each haplotype's calls are applied to the reference stretch they span; gt is 1|1, 1|2, 1|0 or 0|1; stretches that both leave as they are go.
-    qual is the mean over haplotypes of their calls' mean.
+    qual is the mean over haplotypes of their calls' mean, without a haplotype whose calls leave the stretch as it is. Records are trimmed.
+    A call whose ref is not the reference's is an error.
     """
     both = hap1.withColumn("hap", F.lit(1)).unionByName(hap2.withColumn("hap", F.lit(2)))
     spans = both.withColumn("start", F.col("pos")).withColumn("end", F.col("pos") + F.length("ref"))
@@ -181,13 +193,17 @@ def merge_haplotypes(hap1: DataFrame, hap2: DataFrame, reference: DataFrame) ->
     grouped = grouped.join(reference.select("chrom", F.col("seq").alias("_seq")), "chrom")
     grouped = grouped.withColumn("ref", F.substr("_seq", (F.col("pos") + 1).cast("int"), (F.col("_end") - F.col("pos")).cast("int")))
     local = lambda e: F.transform(e, lambda x: F.struct((x["pos"] - F.col("pos")).alias("pos"), x["ref"].alias("ref"), x["alt"].alias("alt")))
-    grouped = grouped.withColumn("_a1", apply_edits(F.col("ref"), local("_e1"))).withColumn("_a2", apply_edits(F.col("ref"), local("_e2")))
+    agrees = lambda e: F.forall(local(e), lambda x: F.substr(F.col("ref"), x["pos"].cast("int") + 1, F.length(x["ref"])) == x["ref"])
+    wrong = F.raise_error(F.concat(F.lit("reference differs from a call in "), F.col("chrom"), F.lit(":"), F.col("pos").cast("string"))).cast("string")
+    applied = lambda e: F.when(agrees(e), apply_edits(F.col("ref"), local(e))).otherwise(wrong)
+    grouped = grouped.withColumn("_a1", applied("_e1")).withColumn("_a2", applied("_e2"))
     same1, same2 = F.col("_a1") == F.col("ref"), F.col("_a2") == F.col("ref")
     gt = F.when(same2, "1|0").when(same1, "0|1").when(F.col("_a1") == F.col("_a2"), "1|1").otherwise("1|2")
     alts = F.when(same2, F.array("_a1")).when(same1, F.array("_a2")).otherwise(F.array_distinct(F.array("_a1", "_a2")))
-    quals = F.array_compact(F.array("_q1", "_q2"))
+    quals = F.array_compact(F.array(F.when(~same1, F.col("_q1")), F.when(~same2, F.col("_q2"))))
     mean = F.aggregate(quals, F.lit(0.0), lambda t, q: t + q) / F.size(quals)
-    return grouped.where(~(same1 & same2)).select("chrom", "pos", "ref", alts.alias("alt"), gt.alias("gt"), mean.alias("qual"))
+    merged = grouped.where(~(same1 & same2)).select("chrom", trim_alleles(F.col("pos"), F.col("ref"), alts).alias("_t"), gt.alias("gt"), mean.alias("qual"))
+    return merged.select("chrom", "_t.pos", "_t.ref", "_t.alt", "gt", "qual")
 
 
 def homozygous_gaps(df: DataFrame, least: int = 1000) -> DataFrame:
