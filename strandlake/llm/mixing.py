@@ -156,7 +156,7 @@ def mix(
 
     ``share``: the part of all tokens to sample; less is sampled if the targets can't be met so (see ``calibrate``). ``topic`` and
     ``tokens``: a document's topic and weight, by default ``topic_of`` and ``token_weight``. A missing source, language or topic
-    is a value too; a missing or negative weight is 0. A target of 0 leaves a value out; a target for a value that no row has is
+    is a value too; a missing or negative weight is 0. Dimensions that ``targets`` leaves out are not raked. A target of 0 leaves a value out; a target for a value that no row has is
     passed over. Null texts are empty. Rows that share an id are sampled together if their cells agree.
     An empty table gives an empty result.
     """
@@ -164,10 +164,13 @@ def mix(
     values = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(text_col) if topic is None else topic}
     weight = token_weight(text_col) if tokens is None else F.greatest(F.coalesce(tokens.cast("double"), F.lit(0.0)), F.lit(0.0))
     keyed = docs.withColumns({names[d]: F.coalesce(value.cast("string"), F.lit(NONE)) for d, value in values.items()} | {names["tokens"]: weight})
-    cells = keyed.groupBy(*[F.col(names[d]).alias(d) for d in DIMENSIONS]).agg(F.sum(names["tokens"]).alias("tokens"))
-    raked = rake(cells, targets or TEMPERATURES, rounds, share)
-    raked = raked.select(*[F.col(d).alias(names[d]) for d in (*DIMENSIONS, "factor", "prob")])
-    joined = keyed.join(raked, [names[d] for d in DIMENSIONS])
+    targets = targets or TEMPERATURES
+    if not set(targets) <= set(DIMENSIONS):
+        raise ValueError(f"targets are for {', '.join(DIMENSIONS)}, not {', '.join(sorted(set(targets) - set(DIMENSIONS)))}")
+    cells = keyed.groupBy(*[F.col(names[d]).alias(d) for d in targets]).agg(F.sum(names["tokens"]).alias("tokens"))
+    raked = rake(cells, targets, rounds, share)
+    raked = raked.select(*[F.col(d).alias(names[d]) for d in (*targets, "factor", "prob")])
+    joined = keyed.join(raked, [names[d] for d in targets])
     return joined.select(
         *[joined[f"`{c}`"] for c in docs.columns if c.lower() not in OUTPUT],
         F.col(names["topic"]).alias("mix_topic"),
