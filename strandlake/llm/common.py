@@ -73,19 +73,26 @@ def release(spark: SparkSession) -> None:
 FILTER_BITS = 1 << 27
 
 
-def maybe_in(df: DataFrame, wanted: DataFrame, key: str, n: int) -> DataFrame:
-    """Rows of ``df`` whose key is, or by chance seems to be, among the ``n`` of ``wanted``: what a later join has to shuffle.
+def marked(df: DataFrame, wanted: DataFrame, key: str, n: int, into: str) -> DataFrame:
+    """``df`` plus the boolean column ``into``: whether its key is, or by chance seems to be, among the ``n`` of ``wanted``.
 
     One bit a hash of a key, and eight times as many bits as keys up to FILTER_BITS, so what is broadcast has a bound. With many
-    more keys than that bound the bitmap is full and the join shuffles what it would without it.
+    more keys than that bound the bitmap is full and all rows are marked.
     """
     bits = min(FILTER_BITS, 1 << max(15, (8 * n).bit_length()))
-    place = lambda: F.pmod(F.xxhash64(key), F.lit(bits))
-    marks = wanted.groupBy(F.bitmap_bucket_number(place()).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place())).alias("_bits"))
-    joined = df.withColumn("_bucket", F.bitmap_bucket_number(place())).join(F.broadcast(marks), "_bucket")
-    at = F.bitmap_bit_position(place())
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return joined.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*df.columns)
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    bucket, held = fresh(df, "_bucket"), fresh(df, "_bits")
+    marks = wanted.groupBy(F.bitmap_bucket_number(place).alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(held))
+    joined = df.withColumn(bucket, F.bitmap_bucket_number(place)).join(F.broadcast(marks), bucket, "left")
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(held, F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return joined.withColumn(into, F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop(bucket, held)
+
+
+def maybe_in(df: DataFrame, wanted: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows of ``df`` that ``marked`` marks: what a later join has to shuffle."""
+    name = fresh(df, "_maybe")
+    return marked(df, wanted, key, n, name).where(F.col(name)).drop(name)
 
 
 def text_or_empty(text: str = "text") -> Column:
@@ -109,19 +116,23 @@ def keep_found(docs: DataFrame, found: DataFrame, scratch: Scratch, id_col: str,
     """``docs``, columns as they are, without the rows that ``found`` does not keep.
 
     ``found`` has doc_id, digest and kept, one row per row of ``docs``. Rows are found again by id and text, so rows that share
-    one of them are told apart; of rows that share both, one stays if any is kept. What goes is written first, so that Spark
-    knows its size when it chooses how to join.
+    one of them are told apart; of rows that share both, one stays if any is kept. What goes is written first, and its count
+    sizes the bitmap that tells which rows are shuffled.
     """
     keys = found.groupBy("doc_id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     odd = scratch.write(keys.where("not kept or n > 1").select(_key(F.col("doc_id"), F.col("digest")).alias("k"), "kept"), "not-kept")
-    name = fresh(docs, "_key")
-    keyed = docs.withColumn(name, _key(F.col(id_col).cast("long"), text_digest(text_col)))
-    rest = keyed.join(scratch.keep(odd).select(F.col("k").alias(name)), name, "left_anti").select(*docs.columns)
-    twice = odd.where("kept").select(F.col("k").alias(name))
+    name, maybe = fresh(docs, "_key"), fresh(docs, "_maybe")
+    odd = scratch.keep(odd).select(F.col("k").alias(name), "kept")
+    keyed = marked(docs.withColumn(name, _key(F.col(id_col).cast("long"), text_digest(text_col))), odd, name, odd.count(), maybe)
+    # Only rows that may go are shuffled with their texts; the others are passed on where they are.
+    sure, unsure = keyed.where(~F.col(maybe)), keyed.where(F.col(maybe))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    rest = sure.select(*columns).unionByName(unsure.join(odd.select(name), name, "left_anti").select(*columns))
+    twice = odd.where("kept").select(name)
     if twice.isEmpty():
         return rest
     # Rows that repeat wholly: their other columns may differ, and one row of each stays as it is.
-    whole = keyed.join(twice, name, "left_semi").groupBy(name).agg(F.first(F.struct(*[keyed[f"`{c}`"] for c in docs.columns])).alias("row_"))
+    whole = unsure.join(twice, name, "left_semi").groupBy(name).agg(F.first(F.struct(*columns)).alias("row_"))
     return rest.unionByName(whole.select("row_.*"))
 
 
