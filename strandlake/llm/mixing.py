@@ -26,6 +26,8 @@ TEMPERATURES = {"source": 0.5, "lang": 0.5, "topic": 0.7}
 ROUNDS, SHARE, NONE = 8, 0.6, "(none)"
 #: Raking goes on until all marginals are within this part of all tokens, and for so many rounds at most.
 ERROR, MOST_ROUNDS = 1e-9, 2000
+#: Cells that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_CELLS = 100_000
 
 
 def topic_of(text: str = "text") -> Column:
@@ -170,6 +172,8 @@ def mix(
     cells = keyed.groupBy(*[F.col(names[d]).alias(d) for d in targets]).agg(F.sum(names["tokens"]).alias("tokens"))
     raked = rake(cells, targets, rounds, share)
     raked = raked.select(*[F.col(d).alias(names[d]) for d in (*targets, "factor", "prob")])
+    if raked.count() <= BROADCAST_CELLS:
+        raked = F.broadcast(raked)
     joined = keyed.join(raked, [names[d] for d in targets])
     return joined.select(
         *[joined[f"`{c}`"] for c in docs.columns if c.lower() not in OUTPUT],
