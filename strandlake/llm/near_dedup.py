@@ -15,8 +15,8 @@ signatures are exact.
 
 Signatures are cut into bands. Documents that share a band are candidates and
 are verified on whole shingle multisets. In each bucket every member is first
-compared with the smallest and the largest one, so a bucket of copies costs its
-size, not its square. Members of buckets that are then still in different
+compared with the one that shares most buckets with others and with the smallest
+one, so a bucket of copies costs its size, not its square. Members of buckets that are then still in different
 components go through an exact prefix-filtered set join, so no link is lost.
 """
 
@@ -195,15 +195,17 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, shing
 
     lone = reps.select(F.col("node").alias("row_no"))
     entries = signed.join(lone, "row_no", "left_semi").select(F.col("row_no").alias("node"), F.explode("bands").alias("bucket"))
-    heads = entries.groupBy("bucket").agg(
-        F.min("node").alias("head"), F.max("node").alias("tail"), F.count(F.lit(1)).alias("n")
-    ).where("n > 1 and head < tail").drop("n")
-    held = scratch.write(entries.join(heads, "bucket").select("bucket", "node", "head", "tail"), "buckets")
+    shared = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    held = scratch.write(entries.join(shared, "bucket").select("bucket", "node", "n"), "buckets")
     scratch.drop(signed)
 
-    stars = held.select(F.col("head").alias("a"), F.col("node").alias("b")).unionByName(
-        held.select(F.col("node").alias("a"), F.col("tail").alias("b"))
-    )
+    # Copies with edits of their own may be near the text they come from and not each other; that text meets more others than they do.
+    meets = held.groupBy("node").agg(F.sum("n").alias("met"))
+    hub = F.max(F.struct("met", (-F.col("node")).alias("less"))).alias("hub")
+    pivots = held.join(meets, "node").groupBy("bucket").agg(hub, F.min("node").alias("low"))
+    pivots = scratch.write(pivots.select("bucket", (-F.col("hub.less")).alias("hub"), "low"), "pivots")
+    pair = lambda pivot: F.struct(F.least("node", pivot).alias("a"), F.greatest("node", pivot).alias("b"))
+    stars = held.join(pivots, "bucket").select(F.inline(F.array(pair("hub"), pair("low"))))
     stars = scratch.write(stars.where("a < b").distinct(), "star-pairs")
     wanted = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
     # The texts are found again by their digests: equal ones are one node.
