@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language, license_scan, line_dedup, mixing, near_dedup, quality, token_count, toxicity
+from . import conversation_repair, decontaminate, exact_dedup, fingerprint, language, license_scan, line_dedup, mixing, near_dedup, prefix_trie, quality, token_count, toxicity
 from .common import crc_bucket
 
 
@@ -68,6 +68,19 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.damage(conversations), conversations)
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints_of_edits(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality": op1_quality,
     "op2_license_scan": op2_license_scan,
@@ -79,12 +92,17 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLE_SQL = {
     "op2_license_scan": license_scan.oracle_sql(),
     "op5_line_dedup": line_dedup.oracle_sql(),
     "op6_decontamination": decontaminate.oracle_sql(),
+    "op11_conversation_repair": conversation_repair.oracle_sql(),
+    "op12_prefix_trie": prefix_trie.oracle_sql(),
     "op9_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -40,7 +40,7 @@ def test_stages(spark):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14)) and set(ORACLE_SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", ["op5_line_dedup", "op6_decontamination"])
@@ -56,7 +56,7 @@ def test_query_matches_sql(spark, name):
     from tests.test_oracle import rows as plain
 
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "labels"):
+    for table in ("documents", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     assert plain(QUERIES[name](spark, DATA).toPandas()) == plain(con.execute(ORACLE_SQL[name]).df())
 
