@@ -103,10 +103,10 @@ def win16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "win9_collapse_neighbours",
-    """WITH p AS (SELECT conv_id, turn, substr(text, 1, 12) AS seq FROM conversations WHERE turn % 4 <> 3),
+    """WITH p AS (SELECT conv_id, turn, text AS seq FROM conversations),
     a AS (SELECT *, coalesce(turn <> lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) + 1, true)::INT AS new FROM p),
     b AS (SELECT *, sum(new) OVER (PARTITION BY conv_id ORDER BY turn) AS piece FROM a)
-    SELECT conv_id, min(turn) AS "start", max(turn) AS stop, string_agg(seq, '' ORDER BY turn) AS seq FROM b GROUP BY conv_id, piece""",
+    SELECT conv_id, min(turn) AS "start", max(turn) AS stop, coalesce(string_agg(seq, '' ORDER BY turn), '') AS seq FROM b GROUP BY conv_id, piece""",
 )
 def win9(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = table(spark, sf_dir, "conversations")
@@ -123,7 +123,7 @@ def win15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("name", F.concat_ws("_", F.col("ref_name").cast("string"), number.cast("string")))
 
 
-_CHUNK_SQL = """c AS (SELECT o_custkey AS ref_name, o_orderkey AS id, (o_orderkey * 7 % 400)::BIGINT AS a, (o_orderkey * 7 % 400 + 20 + o_orderkey % 60)::BIGINT AS z FROM orders WHERE o_custkey % 5 = 0),
+_CHUNK_SQL = """c AS (SELECT o_custkey AS ref_name, o_orderkey AS id, (o_orderkey * 7 % 400)::BIGINT AS a, (o_orderkey * 7 % 400 + 20 + o_orderkey % 60)::BIGINT AS z FROM orders),
     o AS (SELECT *, max(z) OVER (PARTITION BY ref_name ORDER BY a, z DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c)"""
 
 
@@ -136,7 +136,7 @@ def order_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "win7_relationship",
-    """WITH c AS (SELECT o_custkey AS ref_name, o_orderkey AS id, (o_orderkey * 7 % 400)::BIGINT AS a, (o_orderkey * 7 % 400 + 20 + o_orderkey % 60)::BIGINT AS z FROM orders WHERE o_custkey % 5 = 0),
+    """WITH c AS (SELECT o_custkey AS ref_name, o_orderkey AS id, (o_orderkey * 7 % 400)::BIGINT AS a, (o_orderkey * 7 % 400 + 20 + o_orderkey % 60)::BIGINT AS z FROM orders),
     n AS (SELECT *, lead(id) OVER w AS id2, lead(a) OVER w AS a2, lead(z) OVER w AS z2 FROM c WINDOW w AS (PARTITION BY ref_name ORDER BY id)),
     s AS (SELECT *, (a2 < a OR (a2 = a AND z2 - a2 > z - a)) AS swap FROM n WHERE id2 IS NOT NULL),
     t AS (SELECT *, CASE WHEN swap THEN a2 ELSE a END AS f1, CASE WHEN swap THEN z2 ELSE z END AS l1, CASE WHEN swap THEN a ELSE a2 END AS f2, CASE WHEN swap THEN z ELSE z2 END AS l2 FROM s)

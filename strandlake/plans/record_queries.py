@@ -73,7 +73,7 @@ def src3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "src12_chunk_index",
-    """WITH c AS (SELECT o_custkey AS ref_name, o_orderkey AS id, (o_orderkey * 7 % 400)::BIGINT AS a, (o_orderkey * 7 % 400 + 20 + o_orderkey % 60)::BIGINT AS z FROM orders WHERE o_custkey % 5 = 0)
+    """WITH c AS (SELECT o_custkey AS ref_name, o_orderkey AS id, (o_orderkey * 7 % 400)::BIGINT AS a, (o_orderkey * 7 % 400 + 20 + o_orderkey % 60)::BIGINT AS z FROM orders)
     SELECT ref_name, id, row_number() OVER (PARTITION BY ref_name ORDER BY a, z DESC, id)::BIGINT AS place FROM c""",
 )
 def src12(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,7 +308,7 @@ def var14(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "con3_stitch_chunks",
-    """WITH c AS (SELECT o_custkey AS ref_name, o_orderkey AS id, (o_orderkey * 7 % 400)::BIGINT AS a, (o_orderkey * 7 % 400 + 20 + o_orderkey % 60)::BIGINT AS z FROM orders WHERE o_custkey % 5 = 0),
+    """WITH c AS (SELECT o_custkey AS ref_name, o_orderkey AS id, (o_orderkey * 7 % 400)::BIGINT AS a, (o_orderkey * 7 % 400 + 20 + o_orderkey % 60)::BIGINT AS z FROM orders),
     m AS (SELECT DISTINCT ref_name, unnest(range(a, z + 1)) AS major FROM c), n AS (SELECT *, coalesce(major - lag(major) OVER (PARTITION BY ref_name ORDER BY major) > 1, true)::INT AS new FROM m),
     k AS (SELECT *, sum(new) OVER (PARTITION BY ref_name ORDER BY major) AS piece FROM n)
     SELECT ref_name, min(major)::BIGINT AS "start", max(major)::BIGINT AS stop, coalesce(string_agg(substr('ACGT', (major % 5)::INT, 1), '' ORDER BY major) FILTER (WHERE major % 5 > 0), '') AS seq FROM k GROUP BY ref_name, piece""",
@@ -322,7 +322,7 @@ def con3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "snk13_chunk_bed",
-    """WITH c AS (SELECT o_custkey AS ref_name, (o_orderkey * 7 % 400)::BIGINT AS s, (o_orderkey * 7 % 400 + 21 + o_orderkey % 60)::BIGINT AS e FROM orders WHERE o_custkey % 5 = 0),
+    """WITH c AS (SELECT o_custkey AS ref_name, (o_orderkey * 7 % 400)::BIGINT AS s, (o_orderkey * 7 % 400 + 21 + o_orderkey % 60)::BIGINT AS e FROM orders),
     a AS (SELECT *, max(e) OVER (PARTITION BY ref_name ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c),
     b AS (SELECT *, sum(coalesce(s > reach, true)::INT) OVER (PARTITION BY ref_name ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM a)
     SELECT ref_name, min(s) AS "start", max(e) AS "end" FROM b GROUP BY ref_name, island""",
