@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +25,8 @@ from .conversation_repair import CRC_SQL
 
 #: Turns of a group that one task builds.
 GROUP_TURNS = 50_000
+#: Buckets for as many turns as one group may have: a task builds one group that is nearly too large, or a bucket of small ones.
+BUCKETS_A_GROUP = 4
 NOTHING = hashlib.sha256(b"").hexdigest()
 NODE = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
 COLUMNS = [f.split(" ")[0] for f in NODE.split(", ")]
@@ -133,22 +136,18 @@ def build(digests: list[list[bytes]], words: list[list[int]], convs: list[int],
 
 
 def _built(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["conv_id", "pos"], kind="stable")
-    paths = rows.groupby("conv_id", sort=False)
-    heads = paths.first()
-    nodes = build(
-        [list(p) for p in paths.digest.agg(list)],
-        [list(p) for p in paths.n_words.agg(list)],
-        [int(c) for c in heads.index],
-        [int(n) for n in heads.n],
-        list(heads.ends_sha256),
-        int(rows.above.iloc[0]),
-        int(rows.pos.iloc[0]) + 1,
-    )
-    made = pd.DataFrame(nodes, columns=COLUMNS)
-    made["top"] = made.index == 0
-    made["up"] = rows.up.iloc[0]
-    return made
+    """The tries of all groups of a bucket."""
+    made = []
+    for key, group in rows.sort_values(["conv_id", "pos"], kind="stable").groupby("key", sort=False):
+        convs = group.conv_id.to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], convs[1:] != convs[:-1]]))
+        cut = lambda column, at=np.append(starts, len(convs)): [column[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        heads = group.iloc[starts]
+        nodes = build(
+            cut(group.digest.to_list()), cut(group.n_words.to_list()), heads.conv_id.to_list(), heads.n.to_list(), heads.ends_sha256.to_list(), int(heads.above.iloc[0]), int(heads.pos.iloc[0]) + 1
+        )
+        made += [(*node, k == 0, heads.up.iloc[0]) for k, node in enumerate(nodes)]
+    return pd.DataFrame(made, columns=[*COLUMNS, "top", "up"])
 
 
 def trie(turns: DataFrame, every: DataFrame, group_turns: int = GROUP_TURNS) -> DataFrame:
@@ -172,8 +171,10 @@ def trie(turns: DataFrame, every: DataFrame, group_turns: int = GROUP_TURNS) ->
         built, cut, depth = [], [], 0
         while True:
             sizes = paths.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+            # Small groups go to buckets by the hash of their key, so that a task does not begin anew for each.
+            buckets = max(int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")), BUCKETS_A_GROUP * paths.count() // group_turns)
             large = scratch.write(sizes.where(F.col("size") > group_turns).select("key"), "large-groups")
-            small = paths.join(large, "key", "left_anti").groupBy("key").applyInPandas(_built, f"{NODE}, top boolean, up binary")
+            small = paths.join(large, "key", "left_anti").groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).applyInPandas(_built, f"{NODE}, top boolean, up binary")
             built.append(scratch.write(small, "nodes"))
             depth += 1
             if large.isEmpty():
