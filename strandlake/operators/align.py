@@ -160,14 +160,6 @@ def star_consensus(subreads: DataFrame, keys: list[str]) -> DataFrame:
     return subreads.groupBy(*keys).applyInPandas(run, f"{fields}, seq string")
 
 
-def chunked_edits(pairs: DataFrame, chunk: int = 100_000) -> DataFrame:
-    """Edit distance of long pairs (name, query, ref) by chunks of both: name, chunk, distance. Chunks are rows, so they spread over tasks."""
-    n = F.ceil(F.greatest(F.length("query"), F.length("ref")) / chunk)
-    each = pairs.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(n, F.lit(1)) - 1)))
-    cut = lambda c: F.substr(c, (F.col("chunk") * chunk + 1).cast("int"), F.lit(chunk))
-    return each.select("name", "chunk", F.levenshtein(cut("query"), cut("ref")).alias("distance"))
-
-
 def align_to_reference(query: Column, ref: Column) -> Column:
     """Global alignment with a gap of open 8 and extend 4; an empty query is one deletion."""
     return align(query, ref, "global", gap_open=8, gap_extend=4)

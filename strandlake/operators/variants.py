@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import apply_edits, phred
 from ..schema import CLASS_SYMBOLS
-from . import intervals, islands
+from . import intervals, islands, windows
 
 
 def trim(pos: Column, ref: Column, alt: Column) -> Column:
@@ -238,16 +238,19 @@ def zygosity_regions(mixed: DataFrame, regions: DataFrame, least: int = 1000, wi
 
 def padded_haplotypes(df: DataFrame, reference: DataFrame, pad: int) -> DataFrame:
     """Each record with haps: the reference and each allele within ``pad`` bases on both sides; a ref that is not the reference's is an error."""
-    joined = df.join(reference.select("chrom", F.col("seq").alias("_seq")), "chrom")
-    there = F.substr("_seq", (F.col("pos") + 1).cast("int"), F.length("ref"))
-    start = F.greatest(F.lit(0), F.col("pos") - pad)
-    left = F.substr("_seq", (start + 1).cast("int"), (F.col("pos") - start).cast("int"))
-    right = F.substr("_seq", (F.col("pos") + F.length("ref") + 1).cast("int"), F.lit(pad))
+    spans = df.withColumn("_from", F.greatest(F.lit(0), F.col("pos") - pad).cast("long")).withColumn("_to", (F.col("pos") + F.length("ref") + pad).cast("long"))
+    # Contigs that the reference lacks have no haplotypes.
+    known = spans.join(reference.select("chrom").distinct(), "chrom", "left_semi")
+    joined = windows.slices(known, windows.windowed(reference, "chrom"), "chrom", "_from", "_to", "_around")
+    before = (F.col("pos") - F.col("_from")).cast("int")
+    there = F.substr("_around", before + 1, F.length("ref"))
+    left = F.substr("_around", F.lit(1), before)
+    right = F.substr("_around", before + F.length("ref") + 1)
     wrap = lambda a: F.concat(left, a, right)
     haps = F.when(there == F.col("ref"), F.concat(F.array(wrap(F.col("ref"))), F.transform("alt", wrap))).otherwise(
         F.raise_error(F.concat(F.lit("reference differs at "), F.col("chrom"), F.lit(":"), F.col("pos").cast("string"))).cast("array<string>")
     )
-    return joined.withColumn("haps", haps).drop("_seq")
+    return joined.withColumn("haps", haps).drop("_from", "_to", "_around")
 
 
 def annotate_depth(df: DataFrame, pile: DataFrame) -> DataFrame:
@@ -280,9 +283,9 @@ def diploid_calls(df: DataFrame, classes: list[str]) -> DataFrame:
 
 def from_observations(obs: DataFrame, reference: DataFrame) -> DataFrame:
     """Variants of aligned reads against the reference (ref_name, seq): runs of differing columns with the matching base before them, by read."""
-    joined = obs.join(reference.select("ref_name", F.col("seq").alias("_seq")), "ref_name")
-    base = F.when(F.col("minor") == 0, F.substr("_seq", (F.col("major") + 1).cast("int"), F.lit(1))).otherwise("*")
-    rows = joined.withColumn("ref_symbol", F.upper(base)).drop("_seq").withColumn("_differs", F.col("symbol") != F.col("ref_symbol"))
+    joined = windows.base_at(obs, windows.windowed(reference), "ref_name", "major", "_base")
+    base = F.when(F.col("minor") == 0, F.coalesce("_base", F.lit(""))).otherwise("*")
+    rows = joined.withColumn("ref_symbol", F.upper(base)).drop("_base").withColumn("_differs", F.col("symbol") != F.col("ref_symbol"))
     w = W.partitionBy("ref_name", "qname").orderBy("major", "minor")
     rows = rows.withColumn("_was", F.lag("_differs").over(w)).withColumn("_before", F.lag(F.struct("major", "ref_symbol")).over(w))
     runs = islands.islands(rows, ["ref_name", "qname"], ["major", "minor"], F.col("_was").isNull() | (F.col("_was") != F.col("_differs")), "run").where("_differs")

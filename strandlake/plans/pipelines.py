@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import align, consensus, encoders, intervals, islands, pileup, reads, tandem, variants
+from ..operators import align, consensus, edit_align, encoders, intervals, islands, pileup, reads, tandem, variants, windows
 
 CHUNK, OVERLAP = 10_000, 1_000
 
@@ -53,9 +53,9 @@ def sequence(columns: DataFrame, draft: DataFrame, fill: str | None = None, min_
 
 def with_reference(columns: DataFrame, reference: DataFrame) -> DataFrame:
     """Stitched and decoded columns with ref_symbol, prob and ref_prob."""
-    decoded = consensus.decode(consensus.trim_chunks(columns)).join(reference.select("ref_name", F.col("seq").alias("_seq")), "ref_name")
-    base = F.when(F.col("minor") == 0, F.upper(F.substr("_seq", (F.col("major") + 1).cast("int"), F.lit(1)))).otherwise("*")
-    rows = decoded.withColumn("ref_symbol", base).withColumn("prob", F.array_max("probs")).drop("_seq")
+    decoded = windows.base_at(consensus.decode(consensus.trim_chunks(columns)), windows.windowed(reference), "ref_name", "major", "_base")
+    base = F.when(F.col("minor") == 0, F.upper(F.coalesce("_base", F.lit("")))).otherwise("*")
+    rows = decoded.withColumn("ref_symbol", base).withColumn("prob", F.array_max("probs")).drop("_base")
     return rows.withColumn("ref_prob", F.coalesce(F.get("probs", F.instr(F.lit("*ACGT"), F.col("ref_symbol")) - 1), F.lit(0.0)))
 
 
@@ -71,15 +71,23 @@ def call_snps(columns: DataFrame, reference: DataFrame, threshold: float = 0.04)
     return variants.snp_calls(with_reference(columns, reference), threshold)
 
 
-def variants_of_consensus(pairs: DataFrame) -> DataFrame:
-    """Variants of a consensus against its reference, by global alignment: pairs (ref_name, query, seq) of moderate length."""
-    aligned = pairs.withColumn("a", align.align(F.col("query"), F.col("seq"), "global", gap_open=8, gap_extend=4))
-    placed = aligned.select(
-        F.col("ref_name").alias("qname"), "ref_name", F.lit(0).alias("flag"), F.lit(0).cast("long").alias("pos"), F.lit(60).alias("mapq"), F.col("a.cigar").alias("cigar"),
-        F.col("query").alias("seq"), F.lit(None).cast("array<int>").alias("qual"), F.lit(None).cast("map<string,string>").alias("tags"),
-    )
-    found = variants.from_observations(reads.observations(placed), pairs.select("ref_name", "seq"))
-    return found.drop("qname")
+def variants_of_consensus(pairs: DataFrame, mode: str = "NW", ambiguous: bool = False, **chunking: int) -> DataFrame:
+    """ref_name, pos, ref, alt: variants of a consensus against its reference, from pairs (ref_name, query, seq) of any length; at an N of the reference only if ``ambiguous``.
+
+    Contigs are cut at words both have once and aligned by edits in chained chunks; ``chunking`` goes to ``edit_align.align_long``.
+    """
+    named = pairs.select(F.col("ref_name").alias("name"), "query", F.col("seq").alias("ref"))
+    found = edit_align.align_long(named, mode, with_variants=True, **chunking).select(F.col("name").alias("ref_name"), F.inline("variants"))
+    return found if ambiguous else found.where(~F.contains("ref", F.lit("N")))
+
+
+def coverage_of_consensus(pairs: DataFrame, mode: str = "HW", **chunking: int) -> tuple[DataFrame, DataFrame]:
+    """Covered intervals, and gaps, of a consensus on its reference: pairs (ref_name, query, seq)."""
+    named = pairs.select(F.col("ref_name").alias("name"), "query", F.col("seq").alias("ref"))
+    parts = edit_align.align_long(named, mode, **chunking)
+    placed = parts.select(F.col("name").alias("ref_name"), "start", (F.col("start") + S.cigar_length(F.col("cigar"), S.ON_REFERENCE)).cast("long").alias("end"))
+    contigs = pairs.select("ref_name", F.length("seq").cast("long").alias("length"))
+    return intervals.merge(placed, ["ref_name"]), intervals.complement(placed, contigs, ["ref_name"])
 
 
 def molecules(subreads: DataFrame, depth: int = 3, length: float = 0) -> DataFrame:

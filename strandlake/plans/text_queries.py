@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import align, tandem, variants
+from ..operators import align, edit_align, tandem, variants
+from . import pipelines
 from .registry import query, table
 
 _DNA_SQL = "dna AS (SELECT item_id AS id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS seq FROM benchmark)"
@@ -197,9 +199,15 @@ def str17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.md5(S.apply_edits(F.col("text"), edits)).alias("seq_md5"))
 
 
-@query("flt11_valid_symbols", "SELECT conv_id, turn FROM conversations WHERE regexp_full_match(substr(text, 1, 3), '[A-Ta-t]*')")
+@query(
+    "flt11_valid_symbols",
+    """SELECT conv_id, turn, regexp_full_match(text, '[A-Ta-t]*') AS valid, len(list_filter(string_split(text, ' '), lambda w: regexp_full_match(w, '[A-Ta-t]*')))::INT AS n_valid
+    FROM conversations""",
+)
 def flt11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").where(S.valid_symbols(F.col("text"), "A-Ta-t")).select("conv_id", "turn")
+    """Whether a turn is of valid symbols, and how many of its words are."""
+    words = F.filter(F.split("text", " "), lambda w: S.valid_symbols(w, "A-Ta-t"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.valid_symbols(F.col("text"), "A-Ta-t").alias("valid"), F.when(F.col("text").isNotNull(), F.size(words)).alias("n_valid"))
 
 
 @query("mth10_saturation", "SELECT event_id, least(127, floor(value)::INT)::INT AS dwell FROM events")
@@ -225,12 +233,37 @@ def aln1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "a.score", "a.start", "a.cigar")
 
 
-@query("aln3_chunked_edits", """SELECT a.doc_id AS name, k AS chunk, levenshtein(substr(a.text, (k * 40 + 1)::INT, 40), substr(b.text, (k * 40 + 1)::INT, 40))::INT AS distance
-    FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 JOIN range(0, 5) r(k) ON k < ceil(greatest(len(a.text), len(b.text)) / 40) WHERE strlen(a.text) = len(a.text) AND strlen(b.text) = len(b.text)""")
+_EDITED_SQL = r"""plain AS (SELECT doc_id, regexp_replace(text, '[^\x02-\x7F]', '~', 'g') AS ref FROM documents),
+    marked AS (SELECT doc_id, ref, regexp_replace(ref, '(.{96}).', '\1' || chr(1), 'gs') AS marked FROM plain)"""
+
+
+def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (name, ref) with every 97th symbol replaced by one that no text has."""
+    plain = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("name"), F.regexp_replace("text", r"[^\x02-\x7F]", "~").alias("ref"))
+    return plain.withColumn("query", F.regexp_replace("ref", "(?s)(.{96}).", "$1\x01"))
+
+
+@query(
+    "aln3_chunked_edits",
+    f"""WITH {_EDITED_SQL}, cut AS (SELECT doc_id, ref, regexp_replace(marked, '(.{{210}}).', '\\1', 'gs') AS query FROM marked)
+    SELECT doc_id AS name, levenshtein(query, ref)::BIGINT AS edits, len(query)::BIGINT AS aligned, len(ref)::BIGINT AS spanned FROM cut WHERE len(query) > 0""",
+)
 def aln3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    pairs = docs.select(F.col("doc_id").alias("name"), F.col("text").alias("query")).join(docs.select((F.col("doc_id") - 1).alias("name"), F.col("text").alias("ref")), "name")
-    return align.chunked_edits(pairs)
+    """Documents against an edited copy, in pieces of 1,500 symbols and chunks of 400: edits in all, and what the chain of chunks covers."""
+    pairs = edited(spark, sf_dir).withColumn("query", F.regexp_replace("query", "(?s)(.{210}).", "$1"))
+    parts = edit_align.align_long(pairs, chunk=400, pad=200, piece=1500, anchor=20)
+    ends = F.sum(F.when(F.col("first"), F.col("q_end") - F.col("q_start")).otherwise(F.col("q_end") - F.col("q_start") - F.col("shared")))
+    order = W.partitionBy("name").orderBy("piece", "part")
+    chained = parts.withColumn("before", F.lag("q_end").over(order)).withColumn("first", F.col("before").isNull()).withColumn("shared", F.col("before") - F.col("q_start"))
+    on_ref = S.cigar_length(F.col("cigar"), S.ON_REFERENCE) - F.coalesce("shared", F.lit(0))
+    return chained.groupBy("name").agg(F.sum("edits").alias("edits"), ends.alias("aligned"), F.sum(on_ref).cast("long").alias("spanned"))
+
+
+@query("var15_consensus_variants", f"WITH {_EDITED_SQL} SELECT doc_id::VARCHAR AS ref_name, pos, substr(ref, pos + 1, 1) AS ref, chr(1) AS alt FROM marked, unnest(range(96, len(ref), 97)) r(pos)")
+def var15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variants of the edited copy against its document, in pieces of 1,500 symbols."""
+    pairs = edited(spark, sf_dir).select(F.col("name").cast("string").alias("ref_name"), "query", F.col("ref").alias("seq"))
+    return pipelines.variants_of_consensus(pairs, ambiguous=True, chunk=400, pad=200, piece=1500, anchor=20)
 
 
 @query("aln6_star_consensus")

@@ -37,14 +37,19 @@ def folder(spark, tmp_path_factory):
 
 
 def test_edits_of_whole_documents(spark, folder):
-    texts = dict(DOCS)
-    got = {(r.name, r.chunk): r.distance for r in QUERIES["aln3_chunked_edits"](spark, folder).collect()}
-    assert got == {(k, 0): edits(texts[k], texts[k + 1]) for k in (0, 1, 2)}
+    got = {r.name: (r.edits, r.aligned, r.spanned) for r in QUERIES["aln3_chunked_edits"](spark, folder).collect()}
+    for k, text in DOCS:
+        plain = re.sub("[^\x02-\x7f]", "~", text)
+        query = re.sub("(.{210}).", r"\1", re.sub("(.{96}).", "\\1\x01", plain))
+        assert got[k] == (edits(query, plain), len(query), len(plain))
+    assert got[0][0] == 4
 
 
 def test_symbols_of_whole_texts(spark, folder):
-    got = {(r.conv_id, r.turn) for r in QUERIES["flt11_valid_symbols"](spark, folder).collect()}
-    assert got == {(c, t) for c, t, x in TURNS if x is not None and re.fullmatch("[A-Ta-t]*", x)} and (0, 0) not in got and (1, 0) in got
+    got = {(r.conv_id, r.turn): (r.valid, r.n_valid) for r in QUERIES["flt11_valid_symbols"](spark, folder).collect()}
+    fits = lambda x: re.fullmatch("[A-Ta-t]*", x) is not None
+    assert got == {(c, t): (None, None) if x is None else (fits(x), sum(map(fits, x.split(" ")))) for c, t, x in TURNS}
+    assert {v for v, _ in got.values()} == {True, False, None}
 
 
 def test_neighbours_of_all_turns(spark, folder):
