@@ -163,9 +163,9 @@ def near_groups(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, rep_id, class_id, group_size, kept.
+    """One row per row of ``docs``: doc_id, rep_id, class_no, class_id, group_size, kept.
 
-    rep_id is the smallest id with the same text. class_id is the smallest id of the connected component of
+    rep_id is the smallest id with the same text. class_no tells classes apart, also where ids are null or shared. class_id is the smallest id of the connected component of
     links of weighted Jaccard similarity >= ``threshold`` over multisets of ``shingle``-word shingles; texts
     with fewer words, but some, are one shingle. kept: the row of class_id; of rows that share that id too, one. Texts
     without words (null, empty, punctuation alone) are linked to equal texts only. Rows are told apart by a number of their
@@ -234,6 +234,7 @@ def _groups(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, shing
         sized.select(
             "doc_id",
             "rep_id",
+            F.col("root").alias("class_no"),
             F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("class_id"),
             F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
             (alone | (F.col("top.row_no") == F.col("row_no"))).alias("kept"),

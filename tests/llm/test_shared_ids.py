@@ -30,5 +30,6 @@ def test_near_copies_by_their_own_texts(spark):
     assert len(kept) == len(want) and all(sum(t in group for t in kept) == 1 for group in want)
     assert texts[2] in kept  # of ids 1 and 5, the smallest stays
     groups = near_dedup.near_groups(docs).collect()
+    assert len({r.class_no for r in groups}) == len(want)
     assert len(groups) == len(rows) and sum(r.kept for r in groups) == len(want)
     assert sorted(r.group_size for r in groups) == [1, 2, 2, 2, 2, 2, 2, 3, 3, 3]
