@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import align, consensus, edit_align, encoders, intervals, islands, pileup, reads, tandem, variants, windows
+from ..operators import align, consensus, edit_align, encoders, intervals, islands, pileup, poa, reads, tandem, variants, windows
 
 CHUNK, OVERLAP = 10_000, 1_000
 
@@ -95,11 +95,17 @@ def molecules(subreads: DataFrame, depth: int = 3, length: float = 0) -> DataFra
     good = tandem.deep_molecules(subreads.withColumn("_n", F.length("seq")), ["read_id"], "_n", depth, length)
     longest = subreads.groupBy("read_id").agg(F.max(F.struct(F.length("seq"), "seq")).alias("_t")).select("read_id", F.col("_t.seq").alias("template"))
     turned = align.orient(subreads.join(good.select("read_id"), "read_id", "left_semi").join(longest, "read_id"))
-    return align.star_consensus(turned.select("read_id", "seq"), ["read_id"]).join(good.select("read_id", "n"), "read_id")
+    return poa.molecule_consensus(turned.select("read_id", "seq"), ["read_id"]).join(good.select("read_id", "n"), "read_id")
 
 
-def repeats(alignments: DataFrame, regions: DataFrame, reference: DataFrame, min_reads: int = 3, width: int = 1000) -> DataFrame:
-    """ref_name, start, end, gt, alt, n1, n2: alleles of each region (ref_name, start, end) from the reads that span it, in two clusters by length."""
+def repeats(alignments: DataFrame, regions: DataFrame, reference: DataFrame, min_reads: int = 3, width: int = 1000, clusters: str = "length") -> DataFrame:
+    """ref_name, start, end, gt, alt, n1, n2: alleles of each region (ref_name, start, end) from the reads that span it.
+
+    ``clusters``: ``length`` tells two alleles by the widest gap between lengths, ``sequence`` by the columns of a graph of their runs,
+    which also tells alleles of equal length.
+    """
+    if clusters not in ("length", "sequence"):
+        raise KeyError(f"clusters {clusters} are not one of length, sequence")
     spanned = reads.spanning(reads.primary(alignments), regions, width)
     cut = spanned.select(*[F.col(f"a_{c}").alias(c) for c in alignments.columns], F.col("b_start").alias("_from"), F.col("b_end").alias("_to"))
     inside = reads.observations(cut).where((F.col("major") >= F.col("_from")) & (F.col("major") < F.col("_to")) & (F.col("symbol") != "*"))
@@ -108,8 +114,9 @@ def repeats(alignments: DataFrame, regions: DataFrame, reference: DataFrame, min
     allele = allele.withColumnsRenamed({"_from": "start", "_to": "end"}).withColumn("n", F.length("seq"))
     keys = ["ref_name", "start", "end"]
     routed = tandem.route_regions(allele, keys, "n", min_reads).where("route = 'ok'").select(*keys)
-    clustered = tandem.two_clusters(tandem.without_outliers(allele.join(routed, keys, "left_semi"), keys, "n"), keys, "n")
-    called = align.star_consensus(clustered.select(*keys, "cluster", "seq"), [*keys, "cluster"])
+    kept = tandem.without_outliers(allele.join(routed, keys, "left_semi"), keys, "n")
+    clustered = tandem.two_clusters(kept, keys, "n") if clusters == "length" else poa.sequence_clusters(kept, keys)
+    called = poa.molecule_consensus(clustered.select(*keys, "cluster", "seq"), [*keys, "cluster"])
     sizes = clustered.groupBy(*keys).agg(F.count_if(F.col("cluster") == 1).alias("n1"), F.count_if(F.col("cluster") == 2).alias("n2"))
     pair = called.groupBy(*keys).agg(F.max(F.when(F.col("cluster") == 1, F.col("seq"))).alias("a1"), F.max(F.when(F.col("cluster") == 2, F.col("seq"))).alias("a2"))
     own = pair.join(reference.select("ref_name", F.col("seq").alias("_seq")), "ref_name")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import align, edit_align, tandem, variants
+from ..operators import align, edit_align, poa, tandem, variants
 from . import pipelines
 from .registry import query, table
 
@@ -273,6 +273,37 @@ def aln6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.star_consensus(rows.where("seq <> ''"), ["conv_id"])
 
 
+def _subreads(seq: str) -> list[tuple[int, str]]:
+    """Seven ways to misread a sequence, each wrong at other places: bases dropped, replaced, doubled."""
+    edits = [(13, "$1"), (17, "$1"), (19, "$1N"), (23, "$1N"), (29, "$1$2$2"), (31, "$1$2$2"), (37, "$1")]
+    return [(k, f"regexp_replace({seq}, '(.{{{m - 1}}})(.)', '{to}')") for k, (m, to) in enumerate(edits)]
+
+
+@query("aln6_poa_consensus", f"WITH {_DNA_SQL} SELECT id, seq FROM dna WHERE seq <> ''")
+def aln6_poa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consensus of seven misread copies of each benchmark item's letters: the letters."""
+    rows = dna(spark, sf_dir).where("seq <> ''")
+    reads = rows.select("id", F.explode(F.array(*[F.expr(e) for _, e in _subreads("seq")])).alias("seq"))
+    return poa.molecule_consensus(reads, ["id"])
+
+
+@query(
+    "tdm4_sequence_alleles",
+    f"""WITH {_DNA_SQL} SELECT id, CASE WHEN len(seq) >= 17 THEN 4 ELSE 7 END::BIGINT AS n1, CASE WHEN len(seq) >= 17 THEN 3 ELSE 0 END::BIGINT AS n2, seq AS a1,
+    CASE WHEN len(seq) >= 17 THEN regexp_replace(seq, '(.{{16}}).', '\\1N', 'g') END AS a2 FROM dna WHERE seq <> ''""",
+)
+def tdm4_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four reads of each benchmark item's letters, three with every 17th replaced: two alleles of equal length."""
+    rows = dna(spark, sf_dir).where("seq <> ''")
+    other = F.regexp_replace("seq", "(.{16}).", "$1N")
+    reads = rows.select("id", F.explode(F.concat(F.array_repeat("seq", 4), F.array_repeat(other, 3))).alias("seq"))
+    clustered = poa.sequence_clusters(reads, ["id"])
+    sizes = clustered.groupBy("id").agg(F.count_if(F.col("cluster") == 1).alias("n1"), F.count_if(F.col("cluster") == 2).alias("n2"))
+    called = poa.molecule_consensus(clustered.select("id", "cluster", "seq"), ["id", "cluster"])
+    pair = called.groupBy("id").agg(F.max(F.when(F.col("cluster") == 1, F.col("seq"))).alias("a1"), F.max(F.when(F.col("cluster") == 2, F.col("seq"))).alias("a2"))
+    return sizes.join(pair, "id")
+
+
 @query("agg15_ambiguous_alleles")
 def agg15(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reads by best allele. No SQL: alignment scores."""
