@@ -377,7 +377,9 @@ def arr8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(S.move_table_dwells(moves, F.lit(5), F.col("p_size") % 2 == 1), ",").alias("dwells"))
 
 
-@query("arr10_feature_groups", "SELECT * FROM (VALUES ('rev', '0,1,2,3,8'), ('fwd', '4,5,6,7,9')) t(strand, columns)")
+@query("arr10_feature_groups", f"WITH {OBS_SQL} SELECT ref_name, count(*) FILTER (is_rev)::BIGINT AS rev, count(*) FILTER (NOT is_rev)::BIGINT AS fwd FROM obs GROUP BY 1")
 def arr10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = [(s, ",".join(str(k) for k, c in enumerate(pileup.COUNTS) if c.startswith(s))) for s in ("rev", "fwd")]
-    return spark.createDataFrame(groups, "strand string, columns string")
+    """What each group of count columns, by strand, adds up to on a reference."""
+    groups = {s: sum((F.col(c) for c in pileup.COUNTS if c.startswith(s)), F.lit(0)) for s in ("rev", "fwd")}
+    counted = pileup.counts(observations(spark, sf_dir))
+    return counted.groupBy("ref_name").agg(*[F.sum(total).cast("long").alias(s) for s, total in groups.items()])
