@@ -236,12 +236,27 @@ def scan(
     return map_batches(rows, run, schema)
 
 
+def _marks_sql(text: str) -> str:
+    """Whether one of the template's marks stands in the words ``b`` of a block, which ``j`` holds joined."""
+    found = []
+    for mark in MARKS[text]:
+        if mark in NOT_AFTER:
+            run = mark.split()
+            here = " AND ".join(f"b[i + {k + 1}] = '{word}'" for k, word in enumerate(run))
+            refused = ", ".join(f"'{word}'" for word in NOT_AFTER[mark])
+            found.append(f"len(list_filter(range(len(b)), lambda i: {here} AND coalesce(b[i + {len(run) + 1}] NOT IN ({refused}), true))) > 0")
+        else:
+            found.append(f"contains(j, ' {mark} ')")
+    return " OR ".join(found)
+
+
 def oracle_sql(threshold: float = THRESHOLD, window: int = WINDOW) -> str:
-    """The query ``op2`` in DuckDB's SQL: phrases by position, templates by plain containment in every block."""
+    """The query ``op2`` in DuckDB's SQL: phrases by position, templates by plain containment in every line, window of a line and window of the whole text, and marks."""
     half = window // 2
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     cut = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
-    kinds = ", ".join("('{}', [{}])".format(label, ", ".join(f"'{w}'" for w in sorted(word_set(text)))) for label, text in TEMPLATES)
+    kinds = ", ".join("({}, '{}', [{}])".format(k, label, ", ".join(f"'{w}'" for w in sorted(word_set(text)))) for k, (label, text) in enumerate(TEMPLATES))
+    marked = " ".join(f"WHEN {k} THEN {_marks_sql(text)}" for k, (_, text) in enumerate(TEMPLATES) if text in MARKS)
     places = " UNION ALL ".join(
         "SELECT doc_id, unnest(list_filter(range(len(w)), lambda i: {})) AS place, '{}' AS label FROM base".format(
             " AND ".join(f"w[i + {k + 1}] = '{word}'" for k, word in enumerate(phrase.split())), label
@@ -252,12 +267,12 @@ def oracle_sql(threshold: float = THRESHOLD, window: int = WINDOW) -> str:
     base AS (SELECT doc_id, t, regexp_extract_all(t, '{cut}') AS w FROM low),
     places AS ({places}),
     found AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, list(DISTINCT label) AS kinds FROM places GROUP BY doc_id),
-    kinds AS (SELECT * FROM (VALUES {kinds}) k(label, need)),
-    lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{cut}') AS w FROM low),
+    kinds AS (SELECT * FROM (VALUES {kinds}) k(k, label, need)),
+    lines AS (SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{cut}') AS w FROM low UNION ALL SELECT doc_id, w FROM base),
     windows AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - {half}, 1), {half})) AS s FROM lines),
-    sets AS (SELECT doc_id, list_distinct(w[s + 1:s + {window}]) AS held FROM windows),
+    sets AS (SELECT doc_id, w[s + 1:s + {window}] AS b, list_distinct(b) AS held, ' ' || array_to_string(b, ' ') || ' ' AS j FROM windows),
     shares AS (SELECT doc_id, label, max(len(list_intersect(held, need)) / len(need)) AS share FROM sets, kinds
-        WHERE len(list_intersect(held, need)) >= ceil({threshold} * len(need) - 1e-9) GROUP BY doc_id, label),
+        WHERE len(list_intersect(held, need)) >= ceil({threshold} * len(need) - 1e-9) AND CASE k {marked} ELSE true END GROUP BY doc_id, label),
     best AS (SELECT doc_id, max(share) AS share, list(label) AS kinds FROM shares GROUP BY doc_id)
     SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(labels, '') AS base_labels,
         array_to_string(list_sort(list_distinct(list_concat(coalesce(found.kinds, []), coalesce(best.kinds, [])))), ',') AS labels,
