@@ -7,8 +7,10 @@ over its supply; documents are sampled with probability share times that factor,
 by a hash of their id, so a repeated run samples the same documents.
 
 No probability may be over 1, so raking is bounded: a cell's weight stops at its supply
-over the share, and the other cells are raked to what is left. If a value is so rare that its target
-can't be met at the wished share, the share is lowered to the largest one at which all targets are met.
+over the share, and the other cells are raked to what is left. Where a value is so rare that its target can't be
+met at the wished share, the caller chooses. By default the share is lowered to the largest one at which all targets are met. With
+``keep_share`` the share stays: the rare value gives all it has, the other values of its dimension take the
+rest in proportion to their targets, and what is missed is returned.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import fresh, text_or_empty
 
 DIMENSIONS = ("source", "lang", "topic")
-OUTPUT = ("mix_topic", "mix_tokens", "mix_factor", "mix_prob", "sampled")
+OUTPUT = ("mix_topic", "mix_tokens", "mix_factor", "mix_prob", "mix_miss", "sampled")
 #: For each dimension the power to which its token shares are raised to give its targets: 1 keeps them, 0 makes all values equal.
 TEMPERATURES = {"source": 0.5, "lang": 0.5, "topic": 0.7}
 ROUNDS, SHARE, NONE = 8, 0.6, "(none)"
@@ -115,8 +117,59 @@ def calibrate(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarra
     return found, float((tokens * found).sum() / total)
 
 
-def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
-    """``cells`` (a column for each key of ``targets``, and tokens) plus prob and factor, whose token-weighted mean is 1.
+def within_supply(goal: np.ndarray, supply: np.ndarray, wished: float) -> np.ndarray:
+    """Tokens of each value: ``wished`` dealt by the goals; values that have less give all, and the others with a goal share the rest."""
+    got, free, left = np.zeros(len(goal)), goal > 0, wished
+    while free.any() and left > 0:
+        want = np.where(free, goal, 0.0) / goal[free].sum() * left
+        over = free & (want >= supply)
+        if not over.any():
+            return got + want
+        got[over] = supply[over]
+        left -= supply[over].sum()
+        free &= ~over
+    return got
+
+
+def nearest(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], share: float, rounds: int) -> tuple[np.ndarray, float]:
+    """Probabilities of the cells at the wished share, and the share they sample; values too rare for their goals give all they have.
+
+    Where no probabilities meet such goals of several dimensions together, all goals move towards the present shares, by the smallest
+    part at which they are met. Less than the share is sampled only where the values with a goal over 0 have no more tokens.
+    """
+    total = tokens.sum()
+    free = tokens * np.all([goal[code] > 0 for code, goal in zip(codes, goals, strict=True)], axis=0)
+    if not free.sum() > 0:
+        return np.zeros(len(tokens)), 0.0
+    share = min(share, float(free.sum() / total))
+    supplies = [np.bincount(code, free, len(goal)) for code, goal in zip(codes, goals, strict=True)]
+    dealt = [within_supply(goal, supply, share * total) / (share * total) for goal, supply in zip(goals, supplies, strict=True)]
+    moved = lambda part: [(1 - part) * goal + part * supply / free.sum() for goal, supply in zip(dealt, supplies, strict=True)]
+    found, error = _bounded(tokens, codes, dealt, share, rounds)
+    if error > ERROR * 10:
+        low, high, found = 0.0, 1.0, np.where(free > 0, share * total / free.sum(), 0.0)
+        for _ in range(16):
+            middle = (low + high) / 2
+            tried, error = _bounded(tokens, codes, moved(middle), share, rounds)
+            if error > ERROR * 10:
+                low = middle
+            else:
+                high, found = middle, tried
+    return found, float((tokens * found).sum() / total)
+
+
+def missed(tokens: np.ndarray, codes: list[np.ndarray], goals: list[np.ndarray], prob: np.ndarray) -> np.ndarray:
+    """For each cell, how far the share of one of its values stays below its goal at most; 0 where all are met."""
+    reached = (tokens * prob).sum() or 1.0
+    short = [(goal - np.bincount(code, tokens * prob, len(goal)) / reached)[code] for code, goal in zip(codes, goals, strict=True)]
+    worst = np.max(short, axis=0)
+    return np.where(worst > ERROR * 10, worst, 0.0)
+
+
+def rake(
+    cells: DataFrame, targets: dict[str, float | dict[str, float]], rounds: int = ROUNDS, share: float = SHARE, keep_share: bool = False
+) -> DataFrame:
+    """``cells`` (a column for each key of ``targets``, and tokens) plus prob, factor, whose token-weighted mean is 1, and miss.
 
     A target is a power of the present shares, or wished shares by value: values it does not name keep theirs,
     scaled to what the named ones leave. ``rounds``: at least so many, and more until the marginals are met.
@@ -124,7 +177,7 @@ def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], rounds:
     """
     names = list(targets)
     rows = cells.select(*names, F.col("tokens").cast("double")).collect()
-    schema = ", ".join([*(f"`{d}` string" for d in names), "tokens double, prob double, factor double"])
+    schema = ", ".join([*(f"`{d}` string" for d in names), "tokens double, prob double, factor double, miss double"])
     if not rows:
         return cells.sparkSession.createDataFrame([], schema)
     tokens = np.array([r["tokens"] for r in rows])
@@ -133,8 +186,11 @@ def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]], rounds:
         values, code = np.unique(np.array([r[name] for r in rows], dtype=object), return_inverse=True)
         codes.append(code)
         goals.append(_goals(name, values, np.bincount(code, tokens, len(values)), targets[name]))
-    prob, reached = calibrate(tokens, codes, goals, share, rounds)
-    out = [(*(r[d] for d in names), r["tokens"], float(p), float(p / reached)) for r, p in zip(rows, prob, strict=True)]
+    if not tokens.sum() > 0:
+        raise ValueError("no document has a weight over 0")
+    prob, reached = (nearest if keep_share else calibrate)(tokens, codes, goals, share, rounds)
+    miss = missed(tokens, codes, goals, prob)
+    out = [(*(r[d] for d in names), r["tokens"], float(p), float(p / reached) if reached else 0.0, float(m)) for r, p, m in zip(rows, prob, miss, strict=True)]
     return cells.sparkSession.createDataFrame(out, schema)
 
 
@@ -153,16 +209,18 @@ def mix(
     share: float = SHARE,
     topic: Column | None = None,
     tokens: Column | None = None,
+    keep_share: bool = False,
 ) -> DataFrame:
-    """``docs`` plus mix_topic, mix_tokens, mix_factor, mix_prob and sampled (columns of these names are replaced).
+    """``docs`` plus mix_topic, mix_tokens, mix_factor, mix_prob, mix_miss and sampled (columns of these names are replaced).
 
-    ``share``: the part of all tokens to sample; less is sampled if the targets can't be met so (see ``calibrate``). ``topic`` and
+    ``share``: the part of all tokens to sample. Where a value is too rare for its target there, less is sampled (see ``calibrate``); with ``keep_share``
+    the value gives all it has instead (see ``nearest``). mix_miss tells how far the share of one of the row's values stays below its target at most. ``topic`` and
     ``tokens``: a document's topic and weight, by default ``topic_of`` and ``token_weight``. A missing source, language or topic
     is a value too; a missing or negative weight is 0. Dimensions that ``targets`` leaves out are not raked. A target of 0 leaves a value out; a target for a value that no row has is
     passed over. Null texts are empty. Rows that share an id are sampled together if their cells agree.
     An empty table gives an empty result.
     """
-    names = {d: fresh(docs, f"_mix_{d}") for d in (*DIMENSIONS, "tokens", "factor", "prob")}
+    names = {d: fresh(docs, f"_mix_{d}") for d in (*DIMENSIONS, "tokens", "factor", "prob", "miss")}
     values = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(text_col) if topic is None else topic}
     weight = token_weight(text_col) if tokens is None else F.greatest(F.coalesce(tokens.cast("double"), F.lit(0.0)), F.lit(0.0))
     keyed = docs.withColumns({names[d]: F.coalesce(value.cast("string"), F.lit(NONE)) for d, value in values.items()} | {names["tokens"]: weight})
@@ -170,8 +228,8 @@ def mix(
     if not set(targets) <= set(DIMENSIONS):
         raise ValueError(f"targets are for {', '.join(DIMENSIONS)}, not {', '.join(sorted(set(targets) - set(DIMENSIONS)))}")
     cells = keyed.groupBy(*[F.col(names[d]).alias(d) for d in targets]).agg(F.sum(names["tokens"]).alias("tokens"))
-    raked = rake(cells, targets, rounds, share)
-    raked = raked.select(*[F.col(d).alias(names[d]) for d in (*targets, "factor", "prob")])
+    raked = rake(cells, targets, rounds, share, keep_share)
+    raked = raked.select(*[F.col(d).alias(names[d]) for d in (*targets, "factor", "prob", "miss")])
     if raked.count() <= BROADCAST_CELLS:
         raked = F.broadcast(raked)
     joined = keyed.join(raked, [names[d] for d in targets])
@@ -181,5 +239,6 @@ def mix(
         F.col(names["tokens"]).cast("long").alias("mix_tokens"),
         F.col(names["factor"]).alias("mix_factor"),
         F.col(names["prob"]).alias("mix_prob"),
+        F.col(names["miss"]).alias("mix_miss"),
         (uniform(id_col) < F.col(names["prob"])).alias("sampled"),
     )

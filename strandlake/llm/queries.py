@@ -28,13 +28,14 @@ def op3_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), keep_share=True)
     return mixed.select(
         "doc_id",
         F.col("mix_topic").alias("topic"),
         F.col("mix_tokens").alias("tokens"),
         F.round("mix_factor", 6).alias("factor"),
         F.round("mix_prob", 6).alias("prob"),
+        F.round("mix_miss", 6).alias("miss"),
         "sampled",
     )
 

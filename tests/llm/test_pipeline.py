@@ -26,7 +26,7 @@ def test_pipeline_matches_brute_force(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     leaked = {i for i, _ in brute_contaminated(rows, items)}
     left = {i for i, _ in rows} - leaked
-    sampled = mixing.mix(docs.where(docs.doc_id.isin(sorted(left)))).where("sampled").select("doc_id")
+    sampled = mixing.mix(docs.where(docs.doc_id.isin(sorted(left))), keep_share=True).where("sampled").select("doc_id")
     got = corpus_pipeline.run(spark, DATA)
     assert set(docs.columns) <= set(got.columns)
     assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in sampled.collect())
