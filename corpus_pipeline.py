@@ -31,8 +31,8 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample documents by calibrated probabilities; what the mix adds (topic, tokens, factor, probability) stays."""
-    return mixing.mix(docs).where("sampled").drop("sampled")
+    """Sample documents by calibrated probabilities at the wished share, whatever values are rare; what the mix adds (topic, tokens, factor, probability) stays."""
+    return mixing.mix(docs, keep_share=True).where("sampled").drop("sampled")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
