@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..operators import align, edit_align, poa, tandem, variants
+from ..operators import align, edit_align, poa, run_space, tandem, variants
+from ..operators.windows import windowed
 from . import pipelines
 from .registry import query, table
 
@@ -328,3 +329,30 @@ def set8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def agg22(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tandem.route_regions(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity").select("l_suppkey", "n", "longest")
     return rows.join(table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("total")), "l_suppkey")
+
+
+def _one_a_run(seq: str) -> str:
+    for symbol in "ACGTN":
+        seq = f"regexp_replace({seq}, '{symbol}+', '{symbol}', 'g')"
+    return seq
+
+
+@query(
+    "aln8_run_space",
+    rf"""WITH d AS (SELECT doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') AS ref FROM documents), r AS (SELECT doc_id, ref, substr(ref, 8) AS slice,
+        regexp_replace(substr(ref, 8), '(.{{28}}).', '\1N', 'g') AS core FROM d WHERE len(ref) > 7)
+    SELECT doc_id::VARCHAR AS qname, (len({_one_a_run("substr(ref, 1, 8)")}) - 1)::BIGINT AS run_pos, (len({_one_a_run("core")}) + 1)::BIGINT AS n_runs,
+        levenshtein({_one_a_run("core")}, {_one_a_run("slice")})::INT AS edits, 7::BIGINT AS pos, (len(core) + 3)::INT AS on_read, len(slice)::INT AS on_ref FROM r""",
+)
+def aln8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters A, C, G and T of each document from the eighth on, every 29th replaced, as a clipped read of the whole: realigned in run space, and back over bases."""
+    refs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("ref_name"), F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+    core = F.substr("seq", F.lit(8))
+    read = refs.where(F.length("seq") > 7).select(
+        F.col("ref_name").alias("qname"), "ref_name", F.lit(0).alias("flag"), F.lit(7).alias("pos"), F.concat(F.lit("3S"), F.length(core).cast("string"), F.lit("M")).alias("cigar"),
+        F.concat(F.lit("NNN"), F.regexp_replace(core, "(.{28}).", "$1N")).alias("seq"),
+    )
+    short = run_space.compress_alignments(read, windowed(refs))
+    back = S.cigar_length(F.col("full"), S.ON_READ).alias("on_read"), S.cigar_length(F.col("full"), S.ON_REFERENCE).alias("on_ref")
+    full = short.withColumn("full", run_space.expand_cigar(F.col("cigar"), F.col("query_runs"), F.col("ref_runs")))
+    return full.select("qname", F.col("pos").alias("run_pos"), F.length("seq").cast("long").alias("n_runs"), "edits", F.col("base_pos").alias("pos"), *back)
