@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Base codes; 0 is padding, 5 a deletion.
@@ -43,6 +45,55 @@ def assign_rows(spans: DataFrame, block: int = 100_000, max_reads: int = 100) ->
     return ordered.mapInPandas(run, "ref_name string, block long, qname string, row int")
 
 
+def _link(out: np.ndarray, into: np.ndarray, size: int) -> np.ndarray:
+    """The row in the next block for each row: reads that cross keep theirs, the other rows go to those left, both in order."""
+    link = np.full(size, -1)
+    link[out] = into
+    link[link < 0] = np.setdiff1d(np.arange(size), into)
+    return link
+
+
+def carry_rows(rows: DataFrame, max_reads: int = 100, stretch: int = 64) -> DataFrame:
+    """``assign_rows``' result with one row for each read, over all consecutive blocks in which it has one.
+
+    From a block to the next one, reads in both give a permutation of the rows, known from these two alone; a block's rows are turned by all permutations before it.
+    They are composed within stretches of blocks, then over the stretches of a contig, each a permutation of ``max_reads`` numbers, so that no task
+    holds the reads of a contig. A block without reads, or that shares none with the one before, changes nothing. Reads that never
+    overlap may follow each other in a row. qname tells reads of a contig apart.
+    """
+    key = dict(rows.dtypes)["ref_name"]
+    ahead = rows.select("ref_name", (F.col("block") - 1).alias("block"), "qname", F.col("row").alias("_into"))
+    crossing = rows.join(ahead, ["ref_name", "block", "qname"]).groupBy("ref_name", "block").agg(F.array_sort(F.collect_list(F.struct("row", "_into"))).alias("_pairs"))
+    links = crossing.withColumn("stretch", F.floor(F.col("block") / stretch))
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        """For each link, the permutation from the stretch's first block to the block after it."""
+        pdf, turned, out = pdf.sort_values("block"), np.arange(max_reads), []
+        for pairs in pdf["_pairs"]:
+            pairs = np.array([(p["row"], p["_into"]) for p in pairs])
+            turned = _link(pairs[:, 0], pairs[:, 1], max_reads)[turned]
+            out.append(turned.tolist())
+        return pdf[["ref_name", "stretch"]].assign(block=pdf.block + 1, turned=out)
+
+    def over(pdf: pd.DataFrame) -> pd.DataFrame:
+        """For each stretch, the permutation from the contig's first block to the stretch's first."""
+        pdf, turned, out = pdf.sort_values("stretch"), np.arange(max_reads), []
+        for last in pdf["last"]:
+            out.append(turned.tolist())
+            turned = np.array(last)[turned]
+        return pdf[["ref_name", "stretch"]].assign(before=out)
+
+    inner = links.groupBy("ref_name", "stretch").applyInPandas(within, f"ref_name {key}, stretch long, block long, turned array<int>")
+    lasts = inner.groupBy("ref_name", "stretch").agg(F.max_by("turned", "block").alias("last"))
+    # A stretch without links has no row here, so its blocks are turned by the latest stretch before it.
+    before = lasts.groupBy("ref_name").applyInPandas(over, f"ref_name {key}, stretch long, before array<int>")
+    turns = inner.join(before, ["ref_name", "stretch"]).select("ref_name", "block", F.transform("before", lambda k: F.get("turned", k)).alias("_turn"))
+    latest = F.last("_turn", ignorenulls=True).over(W.partitionBy("ref_name").orderBy("block").rowsBetween(W.unboundedPreceding, 0))
+    blocks = rows.select("ref_name", "block").distinct().join(turns, ["ref_name", "block"], "left").withColumn("_turn", latest)
+    found = rows.join(blocks, ["ref_name", "block"])
+    return found.select("ref_name", "block", "qname", F.coalesce(F.array_position("_turn", F.col("row")).cast("int") - 1, F.col("row")).alias("row"))
+
+
 def matrix(observations: DataFrame, rows: DataFrame, block: int = 100_000) -> DataFrame:
     """ref_name, major, minor, row, base, qual, strand, mapq: one row per read and position, deletions with base 5 and quality -1."""
     code = F.coalesce(*[F.when(F.col("symbol") == s, F.lit(k)) for s, k in CODES.items()], F.lit(0))

@@ -20,6 +20,8 @@ from ..session import ship
 from . import edit_align
 from .windows import WIDTH, slices
 
+#: Runs beyond which a read is aligned as a chain of chunks of so many, so that memory follows the chunk.
+CHUNK = 20_000
 _SYMBOLS = "=XIDSMN"
 _ON_READ = np.array([op in S.ON_READ for op in _SYMBOLS])
 _ON_REFERENCE = np.array([op in S.ON_REFERENCE for op in _SYMBOLS])
@@ -62,19 +64,32 @@ def run_symbols(seq: Column) -> Column:
     return F.array_join(F.transform(S.homopolymer_runs(seq), lambda run: F.substr(run, F.lit(1), F.lit(1))), "")
 
 
+def realigned(query: str, ref: str, chunk: int = CHUNK) -> tuple[int, str]:
+    """Edits and CIGAR from end to end: the fewest, and of sequences longer than ``chunk`` the fewest in each chunk of a chain."""
+    if max(len(query), len(ref)) <= chunk:
+        edits, _, ops = edit_align.path(query, ref)
+        return edits, edit_align.cigar(ops)
+    edits, ops, reached = 0, [], None
+    for start, end, _, more, part in edit_align.chain(query, ref, chunk=chunk, pad=max(chunk // 10, 1)):
+        # A chunk begins with the matches that end the one before.
+        shared = 0 if reached is None else reached - start
+        ops += [(part[0][0] - shared, part[0][1]), *part[1:]] if part else []
+        edits, reached = edits + more, end
+    return edits, edit_align.cigar(edit_align.joined(ops))
+
+
 def compress_alignments(reads: DataFrame, windows: DataFrame, width: int = WIDTH) -> DataFrame:
     """Mapped reads (qname, ref_name, flag, pos, cigar, seq) in run space: qname, ref_name, flag, pos, end, seq, cigar, edits, query_runs, ref_runs, base_pos.
 
     pos and end count runs of the contig, seq has one symbol a run of the whole read, clips and all, query_runs its run lengths, ref_runs those of the aligned reference,
-    from base_pos on. The runs that the alignment touches are aligned anew from end to end by the fewest edits; other runs are clips. Unmapped (4) and
+    from base_pos on. The runs that the alignment touches are aligned anew from end to end (see ``realigned``); other runs are clips. Unmapped (4) and
     secondary (256) reads, and reads without an aligned base, give no row. ``windows``: ref_name, bin, window.
     """
     ship(reads.sparkSession)
 
     @F.pandas_udf("edits int, cigar string")
     def realign(queries: pd.Series, refs: pd.Series) -> pd.DataFrame:
-        found = [edit_align.path(q, r) for q, r in zip(queries, refs, strict=True)]
-        return pd.DataFrame({"edits": [f[0] for f in found], "cigar": [edit_align.cigar(f[2]) for f in found]})
+        return pd.DataFrame([realigned(q, r) for q, r in zip(queries, refs, strict=True)], columns=["edits", "cigar"])
 
     clip = lambda pattern: F.coalesce(F.nullif(F.regexp_extract("cigar", pattern, 1), F.lit("")).cast("int"), F.lit(0))
     mapped = reads.where(F.col("flag").bitwiseAND(4 | 256) == 0).select("qname", "ref_name", "flag", F.col("pos").cast("long").alias("base_pos"), "seq", "cigar")

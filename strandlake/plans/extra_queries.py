@@ -73,14 +73,24 @@ def var12_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.zygosity_regions(mixed, regions, 5, 1000).select("chrom", "kind", "start", "end")
 
 
-@query("rmx1_read_slots")
-def rmx1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as reads of a customer: matrix row of each, by the greedy rule. No SQL: a greedy order."""
+def order_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as reads of their customer, 30 to 119 days long."""
     day = F.datediff(F.to_date("o_orderdate"), F.lit("1990-01-01").cast("date")).cast("long")
-    spans = table(spark, sf_dir, "orders").select(
+    return table(spark, sf_dir, "orders").select(
         F.col("o_custkey").cast("string").alias("ref_name"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("qname"), day.alias("start"), (day + 30 + F.col("o_orderkey") % 90).alias("end")
     )
-    return read_matrix.assign_rows(spans, block=1000)
+
+
+@query("rmx1_read_slots")
+def rmx1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as reads of a customer: matrix row of each, by the greedy rule. No SQL: a greedy order."""
+    return read_matrix.assign_rows(order_reads(spark, sf_dir), block=1000)
+
+
+@query("jn10_carried_rows_win6")
+def jn10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as reads in blocks of 50 days, each with one row of its customer's matrix over all its blocks. No SQL: a greedy order."""
+    return read_matrix.carry_rows(read_matrix.assign_rows(order_reads(spark, sf_dir), block=50), stretch=8)
 
 
 @query(

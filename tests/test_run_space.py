@@ -50,6 +50,21 @@ def test_expanded(cigar, query, ref, want):
     assert run_space.expanded(cigar, query, ref) == want
 
 
+@pytest.mark.parametrize("share", [0.02, 0.2, 0.9])
+def test_long_reads_in_chunks(share):
+    rng = random.Random(5)
+    ref = "".join(rng.choice("ACGT") for _ in range(3000))
+    read = "".join("" if (x := rng.random()) < share / 2 else rng.choice("ACGT") if x < share else c for c in ref)
+    for a, b in ((read, ref), (ref, read), (read, ref[:100]), ("A" * 900, "C" * 700)):
+        edits, cigar = run_space.realigned(a, b, 400)
+        assert walk(cigar, a, b, 0) == (len(a), len(b), True)
+        assert edits == sum(int(n) for n, op in re.findall(r"(\d+)(\D)", cigar) if op != "=")
+        fewest = run_space.realigned(a, b)[0]
+        assert fewest <= edits
+        # Chunks of texts that have little in common have no such bound.
+        assert share > 0.5 or edits <= fewest * 1.2 + 20
+
+
 def test_lengths_that_do_not_fit():
     with pytest.raises(ValueError, match="runs of the read"):
         run_space.expanded("3=", [1, 2], [1, 2, 3])
