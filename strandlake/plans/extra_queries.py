@@ -90,7 +90,7 @@ def rmx1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("jn10_carried_rows_win6")
 def jn10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as reads in blocks of 50 days, each with one row of its customer's matrix over all its blocks. No SQL: a greedy order."""
-    return read_matrix.carry_rows(read_matrix.assign_rows(order_reads(spark, sf_dir), block=50), stretch=8)
+    return read_matrix.carry_rows(read_matrix.assign_rows(order_reads(spark, sf_dir), block=50))
 
 
 @query(
