@@ -49,7 +49,7 @@ def spanning(reads: DataFrame, regions: DataFrame, width: int, partial: bool = F
     return overlap_join(placed, regions, ["ref_name"], width, how="overlap" if partial else "contain")
 
 
-def _placed_ops(cigar: Column, pos: Column) -> Column:
+def placed_ops(cigar: Column, pos: Column) -> Column:
     """array<struct<op, n, ref, read>>: each operation with where it begins on the reference and on the read."""
     start = F.struct(
         F.array().cast("array<struct<op:string,n:int,ref:bigint,read:int>>").alias("out"), pos.cast("long").alias("ref"), F.lit(0).alias("read")
@@ -69,7 +69,7 @@ def observations(reads: DataFrame) -> DataFrame:
 
     Insertions sit at the reference base before them with minor 1, 2, ...; a leading insertion has no such base and is left out, as are clips and skips.
     """
-    ops = reads.withColumn("_op", F.explode(_placed_ops(F.col("cigar"), F.col("pos")))).where(F.col("_op.op").isin("M", "=", "X", "D", "I"))
+    ops = reads.withColumn("_op", F.explode(placed_ops(F.col("cigar"), F.col("pos")))).where(F.col("_op.op").isin("M", "=", "X", "D", "I"))
     each = ops.withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_op.n") - 1)))
     inserted = F.col("_op.op") == "I"
     deleted = F.col("_op.op") == "D"

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -64,3 +64,11 @@ def ship(spark: SparkSession) -> None:
     out.close()
     context.addPyFile(target)
     _shipped.add(context.applicationId)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder all executors share and read from there, so that a lost executor repeats no earlier step."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_dir(df.sparkSession))
+    return df.checkpoint()
