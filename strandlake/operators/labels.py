@@ -46,3 +46,13 @@ def accuracy(df: DataFrame, keys: list[str], label: str, predicted: str) -> Data
     sums = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col(label) == F.col(predicted)).cast("long")).alias("correct"))
     share = sums.withColumn("accuracy", F.col("correct") / F.col("n"))
     return share.withColumn("q", accuracy_quality(F.col("accuracy")))
+
+
+def training_vectors(labelled: DataFrame, keys: list[str], order: list[str], legacy: bool = False) -> DataFrame:
+    """keys, truth: array of one-element arrays, the sparse class of each position in order, as losses over class probabilities take them.
+
+    ``legacy`` labels are structs of ``code`` and run length; codes up to 4 are the gap, later ones count from 1.
+    """
+    label = F.greatest(F.col("label.code") - 4, F.lit(0)) if legacy else F.col("label")
+    rows = F.array_sort(F.collect_list(F.struct(*order, label.cast("long").alias("_label"))))
+    return labelled.groupBy(*keys).agg(F.transform(rows, lambda r: F.array(r["_label"])).alias("truth"))

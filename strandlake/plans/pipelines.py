@@ -98,6 +98,22 @@ def molecules(subreads: DataFrame, depth: int = 3, length: float = 0) -> DataFra
     return poa.molecule_consensus(turned.select("read_id", "seq"), ["read_id"]).join(good.select("read_id", "n"), "read_id")
 
 
+def region_reads(alignments: DataFrame, regions: DataFrame, min_reads: int = 3, width: int = 1000) -> DataFrame:
+    """ref_name, start, end, other columns of the regions, qname, tags, seq, n: what each read that spans a region has there, n its length.
+
+    Regions with few reads or very long ones, and reads of outlying length, are left out. A region has as many reads as its depth.
+    """
+    keys = [f"_k_{c}" for c in regions.columns]
+    spanned = reads.spanning(reads.primary(alignments), regions, width)
+    cut = spanned.select(*[F.col(f"a_{c}").alias(c) for c in alignments.columns], *[F.col(f"b_{c}").alias(f"_k_{c}") for c in regions.columns])
+    inside = reads.observations(cut).where((F.col("major") >= F.col("_k_start")) & (F.col("major") < F.col("_k_end")) & (F.col("symbol") != "*"))
+    parts = F.array_sort(F.collect_list(F.struct("major", "minor", "symbol")))
+    allele = inside.groupBy(*keys, "qname").agg(F.first("tags").alias("tags"), F.array_join(F.transform(parts, lambda p: p["symbol"]), "").alias("seq"))
+    allele = allele.withColumnsRenamed({k: k[3:] for k in keys}).withColumn("n", F.length("seq"))
+    routed = tandem.route_regions(allele, regions.columns, "n", min_reads).where("route = 'ok'").select(*regions.columns)
+    return tandem.without_outliers(allele.join(routed, regions.columns, "left_semi"), regions.columns, "n")
+
+
 def repeats(alignments: DataFrame, regions: DataFrame, reference: DataFrame, min_reads: int = 3, width: int = 1000, clusters: str = "length") -> DataFrame:
     """ref_name, start, end, gt, alt, n1, n2: alleles of each region (ref_name, start, end) from the reads that span it.
 
@@ -106,15 +122,8 @@ def repeats(alignments: DataFrame, regions: DataFrame, reference: DataFrame, min
     """
     if clusters not in ("length", "sequence"):
         raise KeyError(f"clusters {clusters} are not one of length, sequence")
-    spanned = reads.spanning(reads.primary(alignments), regions, width)
-    cut = spanned.select(*[F.col(f"a_{c}").alias(c) for c in alignments.columns], F.col("b_start").alias("_from"), F.col("b_end").alias("_to"))
-    inside = reads.observations(cut).where((F.col("major") >= F.col("_from")) & (F.col("major") < F.col("_to")) & (F.col("symbol") != "*"))
-    parts = F.array_sort(F.collect_list(F.struct("major", "minor", "symbol")))
-    allele = inside.groupBy("ref_name", "_from", "_to", "qname").agg(F.array_join(F.transform(parts, lambda p: p["symbol"]), "").alias("seq"))
-    allele = allele.withColumnsRenamed({"_from": "start", "_to": "end"}).withColumn("n", F.length("seq"))
     keys = ["ref_name", "start", "end"]
-    routed = tandem.route_regions(allele, keys, "n", min_reads).where("route = 'ok'").select(*keys)
-    kept = tandem.without_outliers(allele.join(routed, keys, "left_semi"), keys, "n")
+    kept = region_reads(alignments, regions, min_reads, width)
     clustered = tandem.two_clusters(kept, keys, "n") if clusters == "length" else poa.sequence_clusters(kept, keys)
     called = poa.molecule_consensus(clustered.select(*keys, "cluster", "seq"), [*keys, "cluster"])
     sizes = clustered.groupBy(*keys).agg(F.count_if(F.col("cluster") == 1).alias("n1"), F.count_if(F.col("cluster") == 2).alias("n2"))

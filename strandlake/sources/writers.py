@@ -88,3 +88,8 @@ def concat_tsv(paths: list[str], df_of: DataFrame, path: str) -> None:
 def metadata(df_of: DataFrame, values: dict[str, str], path: str) -> None:
     """A few keys and values as JSON beside a store; later ones replace earlier ones."""
     df_of.sparkSession.createDataFrame(sorted(values.items()), "key string, value string").coalesce(1).write.mode("overwrite").json(path)
+
+
+def metrics(df: DataFrame, path: str, method: str = "phasing_method") -> None:
+    """Metrics of regions as TSV, each file with a header, in a folder for each phasing method, by reference and start."""
+    df.repartition(method).sortWithinPartitions(method, natural_key(F.col("ref_name")), "start", "end").write.partitionBy(method).csv(path, sep="\t", header=True)
