@@ -55,18 +55,22 @@ def tdm6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "tdm10_polish",
-    f"""WITH {_TRUTH_SQL}, o AS (SELECT o_custkey AS k, o_orderkey % 64 AS p, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+    f"""WITH {_TRUTH_SQL}, o AS (SELECT o_custkey AS k, o_orderkey % 24 AS p, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
     s AS (SELECT k, p, n, count(*) AS changed FROM o WHERE n >= 3 GROUP BY ALL),
     b AS (SELECT k, i, substr(t, i + 1, 1) AS own, translate(substr(t, i + 1, 1), 'ACGT', 'TGCA') AS other FROM c, range(0, 64) x(i) WHERE k IN (SELECT k FROM s))
     SELECT b.k, string_agg(CASE WHEN changed IS NULL OR 2 * changed < n THEN own WHEN 2 * changed > n THEN other ELSE least(own, other) END, '' ORDER BY i) AS seq FROM b LEFT JOIN s ON b.k = s.k AND b.i = s.p GROUP BY 1""",
 )
 def tdm10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drafts that lack a base and have one too many, polished by reads with a base replaced each, of customers with three orders at least."""
+    """Drafts that lack a base and have one too many, polished by reads with a base replaced each, of customers with three orders at least.
+
+    Reads differ in the first 24 bases and drafts after the 29th: where half of the reads differ beside a base the draft lacks, they have
+    several best alignments and their majority depends on which is taken, which SQL by position can't say.
+    """
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o"))
     deep = orders.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").select("k")
-    rows = truth(spark, sf_dir).join(deep, "k", "left_semi").withColumn("d", 5 + F.col("k") % 40).withColumn("e", 50 + F.col("k") % 10)
+    rows = truth(spark, sf_dir).join(deep, "k", "left_semi").withColumn("d", 30 + F.col("k") % 20).withColumn("e", 52 + F.col("k") % 8)
     drafts = rows.select(F.col("k").cast("string").alias("name"), F.expr("concat(substr(t, 1, d - 1), substr(t, d + 1, e - d), 'G', substr(t, e + 1))").alias("seq"))
-    changed = F.expr("concat(substr(t, 1, o % 64), translate(substr(t, o % 64 + 1, 1), 'ACGT', 'TGCA'), substr(t, o % 64 + 2))")
+    changed = F.expr("concat(substr(t, 1, o % 24), translate(substr(t, o % 24 + 1, 1), 'ACGT', 'TGCA'), substr(t, o % 24 + 2))")
     reads = orders.join(rows.select("k", "t"), "k").select(F.col("k").cast("string").alias("name"), F.col("o").cast("string").alias("read"), changed.alias("seq"))
     kind = dict(orders.dtypes)["k"]
     return polish(drafts, reads).select(F.col("name").cast(kind).alias("k"), "seq")
