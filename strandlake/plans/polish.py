@@ -64,8 +64,9 @@ def polish(
     done = [start.where(~alignable).withColumn("settled", F.lit(True))]
     going = cut_lineage(start.where(alignable))
     for k in range(1, rounds + 1):
-        # Written, as stitching reads the columns several times and would align anew each time.
-        columns = cut_lineage(pipelines.inference(aligned_reads(going, subreads, mode), model, config or SYMMETRIC))
+        # Both written, as what follows reads them several times and would align anew each time, in one very large plan.
+        aligned = cut_lineage(aligned_reads(going, subreads, mode))
+        columns = cut_lineage(pipelines.inference(aligned, model, config or SYMMETRIC))
         new = pipelines.sequence(columns, going.select(F.col("name").alias("ref_name"), "seq")).select(F.col("ref_name").alias("name"), F.col("seq").alias("_new"))
         # All reads may lack a whole draft; its empty consensus is no draft to go on with.
         joined = going.join(new.where("_new <> ''"), "name", "left").withColumn("_new", F.coalesce("_new", "seq"))
