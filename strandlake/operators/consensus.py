@@ -29,11 +29,15 @@ def softmax(logits: Column) -> Column:
     return F.transform(powers, lambda x: x / total)
 
 
+def call(probs: Column, symbols: str = CLASS_SYMBOLS, cap: float = 70.0) -> tuple[Column, Column]:
+    """Symbol of the likeliest class, and phred of the remaining probability."""
+    return F.substr(F.lit(symbols), argmax(probs) + 1, F.lit(1)), phred(1 - F.array_max(probs), cap)
+
+
 def decode(df: DataFrame, symbols: str = CLASS_SYMBOLS, cap: float = 70.0) -> DataFrame:
     """symbol, quality (phred of the remaining probability) and its character."""
-    best = F.array_max("probs")
-    quality = phred(1 - best, cap)
-    return df.withColumn("symbol", F.substr(F.lit(symbols), argmax(F.col("probs")) + 1, F.lit(1))).withColumn("quality", quality).withColumn("qual_char", phred_char(quality))
+    symbol, quality = call(F.col("probs"), symbols, cap)
+    return df.withColumn("symbol", symbol).withColumn("quality", quality).withColumn("qual_char", phred_char(quality))
 
 
 def sequences(decoded: DataFrame, keys: list[str], gaps: bool = False) -> DataFrame:
@@ -70,6 +74,99 @@ def relationship(a: Column, b: Column) -> Column:
     )
 
 
+def positions_packed(columns: DataFrame, *fields: str) -> DataFrame:
+    """ref_name, sample_id, cells: the columns of each chunk as one sorted array of structs of major, minor and ``fields``. A chunk has some thousand columns."""
+    return columns.groupBy("ref_name", "sample_id").agg(F.array_sort(F.collect_list(F.struct("major", "minor", *fields))).alias("cells"))
+
+
+def with_runs(samples: DataFrame, cells: str = "cells", into: str = "runs") -> DataFrame:
+    """``samples`` with the positions of sorted ``cells`` as runs: array<struct<major, minor, n>>, n columns of one minor whose major goes up by one each."""
+    at = lambda i: F.get(cells, i)
+    goes_on = lambda i: (at(i)["major"] == at(i - 1)["major"] + 1) & (at(i)["minor"] == at(i - 1)["minor"])
+    none = F.array().cast("array<int>")
+    begins = F.when(F.size(cells) > 0, F.filter(F.sequence(F.lit(0), F.size(cells) - 1), lambda i: (i == 0) | ~goes_on(i))).otherwise(none)
+    rows = samples.withColumn("_begins", begins)
+    ends = F.concat(F.slice("_begins", F.lit(2), F.size("_begins")), F.when(F.size(cells) > 0, F.array(F.size(cells))).otherwise(none))
+    run = lambda i, end: F.struct(at(i)["major"].alias("major"), at(i)["minor"].alias("minor"), (end - i).cast("long").alias("n"))
+    return rows.withColumn(into, F.zip_with("_begins", ends, run)).drop("_begins")
+
+
+def _kept(run: Column, low: Column, high: Column, inclusive: bool) -> tuple[Column, Column]:
+    """First and last place within a run of what lies from ``low`` to ``high`` (structs of major, minor; null: open); none if the last is less than the first."""
+    after = F.greatest(F.lit(0), low["major"] - run["major"] + (run["minor"] < low["minor"]).cast("long"))
+    beyond = run["minor"] > high["minor"] if inclusive else run["minor"] >= high["minor"]
+    return after, F.least(run["n"] - 1, high["major"] - run["major"] - beyond.cast("long"))
+
+
+def clip_runs(runs: Column, low: Column, high: Column, inclusive: bool = False) -> Column:
+    """Runs cut to the positions from ``low`` to before ``high``, or to ``high`` if ``inclusive``. Equal positions give equal runs."""
+
+    def cut(run: Column) -> Column:
+        first, last = _kept(run, low, high, inclusive)
+        return F.struct((run["major"] + first).alias("major"), run["minor"].alias("minor"), (last - first + 1).alias("n"))
+
+    return F.filter(F.transform(runs, cut), lambda run: run["n"] > 0)
+
+
+def _nth(runs: Column, place: Column) -> Column:
+    """struct<major, minor>: the position at ``place``, from 0."""
+    nothing = F.lit(None).cast("struct<major: bigint, minor: bigint>")
+    found = F.aggregate(
+        runs,
+        F.struct(place.alias("left"), nothing.alias("at")),
+        lambda s, run: F.struct(
+            (s["left"] - run["n"]).alias("left"),
+            F.when((s["left"] >= 0) & (s["left"] < run["n"]), F.struct((run["major"] + s["left"]).alias("major"), run["minor"].cast("long").alias("minor"))).otherwise(s["at"]).alias("at"),
+        ),
+    )
+    return found["at"]
+
+
+def _total(runs: Column) -> Column:
+    return F.aggregate(runs, F.lit(0).cast("long"), lambda total, run: total + run["n"])
+
+
+def _even_cut(one: Column, two: Column) -> Column:
+    """struct<major, minor>: where to cut chunks whose shared stretch has different columns, given as runs."""
+    count = lambda runs, major: F.size(F.filter(runs, lambda run: (run["major"] <= major) & (major < run["major"] + run["n"])))
+    majors = F.array_distinct(F.flatten(F.transform(F.concat(one, two), lambda run: F.sequence(run["major"], run["major"] + run["n"] - 1))))
+    middle = F.floor((F.array_min(majors) + F.array_max(majors)) / 2)
+    usable = F.when(F.size(majors) > 3, F.filter(majors, lambda m: (m != middle) & (count(one, m) == count(two, m))))
+    best = F.array_min(F.transform(usable, lambda m: F.struct(F.abs(m - middle).alias("far"), (-m).alias("late"), m.alias("major"))))
+    return F.struct(F.coalesce(best["major"], middle).alias("major"), F.lit(0).cast("long").alias("minor"))
+
+
+def trim_samples(samples: DataFrame) -> DataFrame:
+    """Chunks (ref_name, sample_id, runs, ...; see ``with_runs``) that are not within what went before, with piece, start and stop.
+
+    Of its columns a chunk keeps those from start to before stop (structs of major and minor, null where nothing is cut off); the rules are those of ``trim_chunks``.
+    A chunk is one row and its positions a few runs, so contigs are put in order without their columns.
+    """
+    end = F.element_at("runs", -1)
+    last = F.struct((end["major"] + end["n"] - 1).alias("major"), end["minor"].alias("minor"))
+    begin = F.struct(F.get("runs", F.lit(0))["major"].alias("major"), F.get("runs", F.lit(0))["minor"].alias("minor"))
+    # Chunks without columns go after the window: a condition on runs before it would be pushed into what makes them, and cells made anew for each place.
+    meta = samples.withColumns({"_first": begin, "_last": last, "_size": _total(F.col("runs"))})
+    order = W.partitionBy("ref_name").orderBy("_first", F.desc("_size"), "sample_id")
+    reach = F.max("_last").over(order.rowsBetween(W.unboundedPreceding, -1))
+    meta = meta.withColumn("_reach", reach).where((F.col("_size") > 0) & (F.col("_reach").isNull() | (F.col("_last") > F.col("_reach")))).drop("_reach", "_size")
+    order = W.partitionBy("ref_name").orderBy("_first", "sample_id")
+    following = F.lead(F.struct(F.col("_first").alias("first"), F.col("runs").alias("runs"))).over(order)
+    meta = meta.withColumn("_next", following).withColumn("_prev", F.lag("_last").over(order))
+    major, minor = F.col("_first.major"), F.col("_first.minor")
+    gap = F.col("_prev").isNull() | ~(
+        (F.col("_first") <= F.col("_prev")) | ((major == F.col("_prev.major") + 1) & (minor == 0)) | ((major == F.col("_prev.major")) & (minor == F.col("_prev.minor") + 1))
+    )
+    meta = islands.islands(meta.withColumn("_gap", gap), ["ref_name"], ["_first", "sample_id"], F.col("_gap"), "piece").drop("_gap", "_prev")
+    # What a chunk and the next one have where they overlap, side by side.
+    shared = lambda runs: F.when(F.col("_next.first") <= F.col("_last"), clip_runs(runs, F.col("_next.first"), F.col("_last"), inclusive=True))
+    meta = meta.withColumns({"_one": shared(F.col("runs")), "_two": shared(F.col("_next.runs"))})
+    middle = _nth(F.col("_one"), F.floor(_total(F.col("_one")) / 2))
+    cut = F.when(F.col("_one").isNotNull(), F.when(F.col("_one") == F.col("_two"), middle).otherwise(_even_cut(F.col("_one"), F.col("_two"))))
+    meta = meta.withColumn("stop", cut).withColumn("start", F.lag("stop").over(order))
+    return meta.drop("_first", "_last", "_next", "_one", "_two")
+
+
 def trim_chunks(columns: DataFrame) -> DataFrame:
     """Columns of overlapping chunks (ref_name, sample_id, major, minor, ...) cut so that each position is in one chunk; adds piece, which a gap ends.
 
@@ -77,44 +174,8 @@ def trim_chunks(columns: DataFrame) -> DataFrame:
     middle; with different ones, at the major position nearest the middle at which both have equally many columns, or, if
     there is none, the later chunk takes over from the middle.
     """
-    meta = columns.groupBy("ref_name", "sample_id").agg(
-        F.min(F.struct("major", "minor")).alias("first"), F.max(F.struct("major", "minor")).alias("last"), F.count(F.lit(1)).alias("size")
-    )
-    order = W.partitionBy("ref_name").orderBy("first", F.desc("size"), "sample_id")
-    reach = F.max("last").over(order.rowsBetween(W.unboundedPreceding, -1))
-    meta = meta.withColumn("_reach", reach).where(F.col("_reach").isNull() | (F.col("last") > F.col("_reach"))).drop("_reach")
-    order = W.partitionBy("ref_name").orderBy("first", "sample_id")
-    meta = meta.withColumn("next_id", F.lead("sample_id").over(order)).withColumn("next_first", F.lead("first").over(order)).withColumn("prev_last", F.lag("last").over(order))
-    major, minor = F.col("first.major"), F.col("first.minor")
-    gap = F.col("prev_last").isNull() | ~(
-        (F.col("first") <= F.col("prev_last"))
-        | ((major == F.col("prev_last.major") + 1) & (minor == 0))
-        | ((major == F.col("prev_last.major")) & (minor == F.col("prev_last.minor") + 1))
-    )
-    meta = islands.islands(meta.withColumn("_gap", gap), ["ref_name"], ["first", "sample_id"], F.col("_gap"), "piece").drop("_gap")
-
-    # Columns of each pair of neighbours where they overlap, side by side.
-    pairs = meta.where(F.col("next_first") <= F.col("last"))
-    shared = pairs.select("ref_name", "sample_id", "next_id", F.col("next_first").alias("low"), F.col("last").alias("high"))
+    bounds = trim_samples(with_runs(positions_packed(columns)).drop("cells")).drop("runs")
     here = F.struct("major", "minor")
-    inside = (here >= F.col("low")) & (here <= F.col("high"))
-    one = columns.join(shared, ["ref_name", "sample_id"]).where(inside).select("ref_name", "sample_id", "major", "minor", F.lit(1).alias("one"), F.lit(0).alias("two"))
-    two = columns.select("ref_name", F.col("sample_id").alias("next_id"), "major", "minor").join(shared, ["ref_name", "next_id"]).where(inside)
-    two = two.select("ref_name", "sample_id", "major", "minor", F.lit(0).alias("one"), F.lit(1).alias("two"))
-    both = one.unionByName(two).groupBy("ref_name", "sample_id", "major", "minor").agg(F.sum("one").alias("one"), F.sum("two").alias("two"))
-    whole = W.partitionBy("ref_name", "sample_id")
-    both = both.withColumn("_same", F.min((F.col("one") == F.col("two")).cast("int")).over(whole) == 1)
-    both = both.withColumn("_n", F.sum("one").over(whole)).withColumn("_at", F.row_number().over(whole.orderBy("major", "minor")) - 1)
-    middle = both.where(F.col("_same") & (F.col("_at") == F.floor(F.col("_n") / 2))).select("ref_name", "sample_id", here.alias("cut"))
-    per_major = both.where(~F.col("_same")).groupBy("ref_name", "sample_id", "major").agg((F.sum("one") == F.sum("two")).alias("even"))
-    mid = F.floor((F.min("major").over(whole) + F.max("major").over(whole)) / 2)
-    per_major = per_major.withColumn("_mid", mid).withColumn("_n", F.count(F.lit(1)).over(whole))
-    usable = F.col("even") & (F.col("_n") > 3) & (F.col("major") != F.col("_mid"))
-    near = F.struct(F.abs(F.col("major") - F.col("_mid")), -F.col("major"), "major")
-    odd = per_major.groupBy("ref_name", "sample_id").agg(F.min(F.when(usable, near)).alias("_best"), F.first("_mid").alias("_mid"))
-    odd = odd.select("ref_name", "sample_id", F.struct(F.coalesce(F.col("_best.major"), F.col("_mid")).alias("major"), F.lit(0).cast("long").alias("minor")).alias("cut"))
-    cuts = middle.unionByName(odd)
-    bounds = meta.join(cuts, ["ref_name", "sample_id"], "left").withColumn("start", F.lag("cut").over(order)).select("ref_name", "sample_id", "piece", "start", F.col("cut").alias("stop"))
     kept = columns.join(bounds, ["ref_name", "sample_id"])
     kept = kept.where((F.col("start").isNull() | (here >= F.col("start"))) & (F.col("stop").isNull() | (here < F.col("stop"))))
     return kept.drop("start", "stop")
@@ -122,12 +183,40 @@ def trim_chunks(columns: DataFrame) -> DataFrame:
 
 def stitch(columns: DataFrame, min_depth: int | None = None, symbols: str = CLASS_SYMBOLS) -> DataFrame:
     """ref_name, start, stop (inclusive), seq, qual: one row per stitched piece of chunks with class probabilities."""
-    kept = trim_chunks(columns)
-    if min_depth is not None:
-        kept = kept.where(F.col("depth") >= min_depth)
-    kept = islands.contiguous(kept.drop("piece"), ["ref_name"])
-    spans = kept.groupBy("ref_name", "piece").agg(F.min("major").alias("start"), F.max("major").alias("stop"))
-    return spans.join(sequences(decode(kept, symbols), ["ref_name", "piece"]), ["ref_name", "piece"], "left").drop("piece")
+    decoded = decode(columns, symbols)
+    deep = F.lit(True) if min_depth is None else F.coalesce(F.col("depth") >= min_depth, F.lit(False))
+    return stitch_samples(positions_packed(decoded.withColumn("deep", deep), "symbol", "qual_char", "deep"), filtered=min_depth is not None)
+
+
+def stitch_samples(samples: DataFrame, filtered: bool = False) -> DataFrame:
+    """``stitch`` for chunks as rows: ref_name, sample_id, cells, a sorted array of structs of major, minor, symbol and qual_char; ``filtered``: and deep, which is false for columns to leave out.
+
+    Chunks go to their contig with a character a column for symbols and one for qualities, once.
+    """
+    rows = with_runs(samples)
+    if filtered:
+        rows = with_runs(rows.withColumn("cells", F.filter("cells", lambda c: c["deep"])), into="own")
+    else:
+        rows = rows.withColumn("own", F.col("runs"))
+    # A gap's quality is a space, so that both texts have the same places.
+    text = lambda of: F.array_join(F.transform("cells", of), "")
+    quality = lambda c: F.when(c["symbol"] == "*", " ").otherwise(c["qual_char"])
+    rows = rows.withColumns({"symbols": text(lambda c: c["symbol"]), "quals": text(quality)}).drop("cells")
+    trimmed = trim_samples(rows)
+    first = F.transform("own", lambda run, i: F.struct(run.alias("run"), _total(F.slice("own", F.lit(1), i)).alias("at")))
+
+    def part(x: Column) -> Column:
+        low, high = _kept(x["run"], F.col("start"), F.col("stop"), inclusive=False)
+        return F.struct((x["run"]["major"] + low).alias("major"), x["run"]["minor"].alias("minor"), (x["run"]["major"] + high).alias("stop"), (x["at"] + low + 1).cast("int").alias("at"), (high - low + 1).cast("int").alias("n"))
+
+    parts = trimmed.withColumn("_part", F.explode(F.filter(F.transform(first, part), lambda p: p["n"] > 0)))
+    cut = lambda c: F.substr(c, F.col("_part.at"), F.col("_part.n"))
+    parts = parts.select("ref_name", "_part.major", "_part.minor", "_part.stop", cut("symbols").alias("seq"), cut("quals").alias("qual"))
+    before = F.lag("stop").over(W.partitionBy("ref_name").orderBy("major", "minor"))
+    pieces = islands.islands(parts.withColumn("_gap", F.col("major") - before > 1), ["ref_name"], ["major", "minor"], F.col("_gap"), "piece")
+    whole = lambda c, gap: F.replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("major", "minor", c))), lambda p: p[c]), ""), F.lit(gap), F.lit(""))
+    joined = pieces.groupBy("ref_name", "piece").agg(F.min("major").alias("start"), F.max("stop").alias("stop"), whole("seq", "*").alias("seq"), whole("qual", " ").alias("qual"))
+    return joined.select("ref_name", "start", "stop", F.nullif("seq", F.lit("")).alias("seq"), F.nullif("qual", F.lit("")).alias("qual"))
 
 
 def fill_gaps(pieces: DataFrame, draft: DataFrame, fill: str | None = None) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
+from ..functions.sequences import phred_char
 from ..operators import consensus, encoders, intervals, islands, labels, pileup, reads, tandem, variants
 from ..sources import readers, writers
-from .island_queries import order_chunks, positions
+from .island_queries import order_chunks, order_samples, positions
 from .pileup_queries import PILE_SQL, pile
 from .registry import OBS_SQL, ORDERS_SQL, observations, query, spans, table
 
@@ -314,9 +315,16 @@ def var14(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT ref_name, min(major)::BIGINT AS "start", max(major)::BIGINT AS stop, coalesce(string_agg(substr('ACGT', (major % 5)::INT, 1), '' ORDER BY major) FILTER (WHERE major % 5 > 0), '') AS seq FROM k GROUP BY ref_name, piece""",
 )
 def con3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = order_chunks(spark, sf_dir).select(F.col("ref_name").cast("string").alias("ref_name"), F.lpad(F.col("id").cast("string"), 12, "0").alias("sample_id"), F.explode(F.sequence("a", "z")).alias("major"))
-    probs = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.when(F.col("major") % 5 == k, F.lit(0.9)).otherwise(0.025))
-    pieces = consensus.stitch(chunks.withColumn("minor", F.lit(0).cast("long")).withColumn("probs", probs))
+    """Orders as chunks of class probabilities, each one row, decoded and stitched."""
+    likely = F.array(*[F.array(*[F.lit(0.9 if k == n else 0.025) for k in range(5)]) for n in range(5)])
+    places = order_samples(spark, sf_dir).withColumn("_likely", likely)
+    samples = places.withColumn("cells", F.transform("cells", lambda c: F.struct(c["major"].alias("major"), c["minor"].alias("minor"), F.get("_likely", (c["major"] % 5).cast("int")).alias("probs"))))
+
+    def called(c: Column) -> Column:
+        symbol, quality = consensus.call(c["probs"])
+        return F.struct(c["major"].alias("major"), c["minor"].alias("minor"), symbol.alias("symbol"), phred_char(quality).alias("qual_char"))
+
+    pieces = consensus.stitch_samples(samples.select("ref_name", "sample_id", F.transform("cells", called).alias("cells")))
     return pieces.select(F.col("ref_name").cast("long").alias("ref_name"), "start", "stop", F.coalesce("seq", F.lit("")).alias("seq"))
 
 
