@@ -35,14 +35,13 @@ def reference_end(pos: Column, cigar: Column) -> Column:
 
 
 def trim_cigar_start(cigar: Column) -> Column:
-    """struct<cigar, query_trim, ref_offset>: what stands before the first ``=`` is taken off."""
-    ops = cigar_ops(cigar)
-    first = F.array_position(F.transform(ops, lambda o: o["op"] == "="), True)
-    before = F.when(first > 0, F.slice(ops, F.lit(1), (first - 1).cast("int"))).otherwise(ops)
-    size = lambda kinds: F.aggregate(F.filter(before, lambda o: F.contains(F.lit(kinds), o["op"])), F.lit(0), lambda t, o: t + o["n"])
-    rest = F.when(first > 0, F.slice(ops, first.cast("int"), F.size(ops)))
-    text = F.array_join(F.transform(rest, lambda o: F.concat(o["n"].cast("string"), o["op"])), "")
-    return F.struct(F.coalesce(text, F.lit("")).alias("cigar"), size(ON_READ).alias("query_trim"), size(ON_REFERENCE).alias("ref_offset"))
+    """struct<cigar, query_trim, ref_offset>: what stands before the first ``=`` is taken off.
+
+    Found by the text alone, so that only the few operations before it are taken apart, not the whole CIGAR.
+    """
+    before = F.rtrim(F.substring_index(cigar, "=", 1), F.lit("0123456789"))
+    rest = F.when(F.contains(cigar, F.lit("=")), F.substr(cigar, F.length(before) + 1))
+    return F.struct(F.coalesce(rest, F.lit("")).alias("cigar"), cigar_length(before, ON_READ).alias("query_trim"), cigar_length(before, ON_REFERENCE).alias("ref_offset"))
 
 
 def add_clipping(cigar: Column, start: int, end: int) -> Column:
@@ -184,9 +183,15 @@ def record_name(*fields: Column) -> Column:
 
 
 def record_name_parse(name: Column) -> Column:
-    pattern = "^(.*)" + "_([^_]*)" * (len(RECORD_FIELDS) - 1) + "$"
+    """struct of RECORD_FIELDS, counted from the end, so that no pattern is matched again and again for each; text that is no record name has empty ones and null numbers."""
     whole = ("ref_start", "ref_end", "padded_start", "padded_end", "hap", "phased_set", "ploidy")
-    parts = [(F.regexp_extract(name, pattern, k + 1), f) for k, f in enumerate(RECORD_FIELDS)]
+    n = len(RECORD_FIELDS) - 1
+    last = F.substring_index(name, "_", -n)
+    named = F.length(last) < F.length(name)
+    field = lambda k: F.substring_index(F.substring_index(name, "_", k - n - 1), "_", 1)
+    text = [F.substr(name, F.lit(1), F.length(name) - F.length(last) - 1), *[field(k) for k in range(1, n + 1)]]
+    blank = F.when(name.isNotNull(), "")
+    parts = [(F.when(named, t).otherwise(blank), f) for t, f in zip(text, RECORD_FIELDS, strict=True)]
     return F.struct(*[(c.cast("long") if f in whole else c).alias(f) for c, f in parts])
 
 
