@@ -9,36 +9,55 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 #: Scores of the local aligner.
 MATCH, MISMATCH, OPEN, EXTEND = 5, -4, 5, 3
 RESULT = "score int, start int, cigar string"
 
 
-def _tables(query: str, ref: str, mode: str, match: int, mismatch: int, gap_open: int, gap_extend: int) -> tuple:
-    """Best scores (h), and those that end in a deletion (d) or an insertion (i); rows are query bases. One row is made at a time, vectorised."""
-    q, r = np.frombuffer(query.encode(), np.uint8), np.frombuffer(ref.encode(), np.uint8)
-    n, m = len(q), len(r)
-    low = -(10**8)
-    h, d, i = (np.full((n + 1, m + 1), low, dtype=np.int64) for _ in range(3))
-    steps = np.arange(1, m + 1)
-    h[0, 0] = 0
-    h[0, 1:] = 0 if mode in ("local", "infix") else -(gap_open + (steps - 1) * gap_extend)
+#: Cells of the tables that are made at once for several queries of one reference.
+CELLS = 1 << 23
+
+
+def _tables(queries: list[str], ref: str, mode: str, match: int, mismatch: int, gap_open: int, gap_extend: int) -> tuple:
+    """Best scores (h), and those that end in a deletion (d) or an insertion (i); first axis query bases, then queries, then reference bases.
+
+    One row of all queries is made at a time, vectorised; what is beyond a shorter query's end is not its own.
+    """
+    qs, r = [np.frombuffer(q.encode(), np.uint8) for q in queries], np.frombuffer(ref.encode(), np.uint8)
+    n, m = max(map(len, qs)), len(r)
+    padded = np.zeros((n, len(qs)), np.uint8)
+    for k, q in enumerate(qs):
+        padded[: len(q), k] = q
+    # No score is as far from 0 as this; where it is small, so are the tables.
+    small = max(abs(match), abs(mismatch), abs(gap_extend)) * (n + m) + 2 * abs(gap_open) < 15_000
+    kind, low = (np.int16, -20_000) if small else (np.int32, -(10**8))
+    h, d, i = np.empty((3, n + 1, len(qs), m + 1), kind)
+    steps = np.arange(m + 1, dtype=kind) * kind(gap_extend)
+    h[0], d[0], i[0], d[:, :, 0] = low, low, low, low
+    h[0, :, 0] = 0
+    h[0, :, 1:] = 0 if mode in ("local", "infix") else -(gap_open + steps[:-1])
     if mode == "global":
-        d[0, 1:] = h[0, 1:]
+        d[0, :, 1:] = h[0, :, 1:]
+    back = steps[:-1] + gap_open
+    # What a reference base scores against each symbol of the queries.
+    scores = {int(c): np.where(r == c, match, mismatch).astype(kind) for c in np.unique(padded)}
     for k in range(1, n + 1):
-        i[k] = np.maximum(h[k - 1] - gap_open, i[k - 1] - gap_extend)
+        np.maximum(h[k - 1] - gap_open, i[k - 1] - gap_extend, out=i[k])
         if mode == "local":
-            i[k, 0] = low
-        diagonal = h[k - 1, :-1] + np.where(r == q[k - 1], match, mismatch)
-        best = np.concatenate([[0 if mode == "local" else i[k, 0]], np.maximum(diagonal, i[k, 1:])])
+            i[k, :, 0] = low
+        best = h[k]
+        best[:, 0] = 0 if mode == "local" else i[k, :, 0]
+        for b, c in enumerate(padded[k - 1].tolist()):
+            np.add(h[k - 1, b, :-1], scores[c], out=best[b, 1:])
+        np.maximum(best[:, 1:], i[k, :, 1:], out=best[:, 1:])
         if mode == "local":
-            best = np.maximum(best, 0)
+            np.maximum(best, 0, out=best)
         # A deletion of any length: the best start to its left, less its cost, is a running maximum.
-        ahead = np.maximum.accumulate(best + np.arange(m + 1) * gap_extend)[:-1]
-        d[k, 1:] = ahead - gap_open - (steps - 1) * gap_extend
-        h[k] = best
-        h[k, 1:] = np.maximum(best[1:], d[k, 1:])
-    return h, d, i, q, r
+        np.subtract(np.maximum.accumulate(best + steps, axis=1)[:, :-1], back, out=d[k, :, 1:])
+        np.maximum(best[:, 1:], d[k, :, 1:], out=best[:, 1:])
+    return h, d, i, qs, r
 
 
 def align_pair(query: str, ref: str, mode: str = "local", match: int = MATCH, mismatch: int = MISMATCH, gap_open: int = OPEN, gap_extend: int = EXTEND) -> tuple[int, int, str]:
@@ -47,7 +66,30 @@ def align_pair(query: str, ref: str, mode: str = "local", match: int = MATCH, mi
         cigar = f"{len(ref)}D" if ref and mode == "global" else f"{len(query)}S" if query and mode == "local" else f"{len(query)}I" if query else ""
         cost = len(query) + len(ref)
         return (0 if mode == "local" or not cost or (mode == "infix" and not query) else -(gap_open + (cost - 1) * gap_extend)), 0, cigar
-    h, d, i, q, r = _tables(query, ref, mode, match, mismatch, gap_open, gap_extend)
+    h, d, i, (q,), r = _tables([query], ref, mode, match, mismatch, gap_open, gap_extend)
+    return _traced(h[:, 0], d[:, 0], i[:, 0], q, r, mode, match, mismatch, gap_open, gap_extend)
+
+
+def align_all(queries: list[str], ref: str) -> list[str]:
+    """CIGARs of ``align_pair``, global, of several queries against one reference, whose tables are made together; equal queries are aligned once."""
+    # Against itself each base matches, as any gap costs and wins nothing.
+    found = {q: f"{len(ref.encode())}=" if q == ref and q else None for q in queries}
+    rest = sorted((q for q, c in found.items() if c is None), key=len, reverse=True)
+    while rest:
+        if not rest[0] or not ref:
+            found[rest[0]], rest = align_pair(rest[0], ref, "global")[2], rest[1:]
+            continue
+        size = max(1, CELLS // ((len(rest[0].encode()) + 1) * (len(ref.encode()) + 1)))
+        part, rest = rest[:size], rest[size:]
+        part, rest = [q for q in part if q], [q for q in part if not q] + rest
+        h, d, i, qs, r = _tables(part, ref, "global", MATCH, MISMATCH, OPEN, EXTEND)
+        for k, q in enumerate(part):
+            found[q] = _traced(h[:, k], d[:, k], i[:, k], qs[k], r, "global", MATCH, MISMATCH, OPEN, EXTEND)[2]
+    return [found[q] for q in queries]
+
+
+def _traced(h: np.ndarray, d: np.ndarray, i: np.ndarray, q: np.ndarray, r: np.ndarray, mode: str, match: int, mismatch: int, gap_open: int, gap_extend: int) -> tuple[int, int, str]:
+    """``align_pair``'s result from the tables of a pair."""
     if mode == "global":
         x, y = len(q), len(r)
     elif mode == "infix":
@@ -127,9 +169,8 @@ def star_consensus(subreads: DataFrame, keys: list[str]) -> DataFrame:
         centre = rows[(len(rows) - 1) // 2]
         columns = [{} for _ in range(len(centre))]
         inserted: list[dict] = [{} for _ in range(len(centre) + 1)]
-        for s in rows:
-            _, at, cigar = align_pair(s, centre, "global")
-            x, extra, number = 0, {}, ""
+        for s, cigar in zip(rows, align_all(rows, centre), strict=True):
+            at, x, extra, number = 0, 0, {}, ""
             for c in cigar:
                 if c.isdigit():
                     number += c
@@ -157,7 +198,7 @@ def star_consensus(subreads: DataFrame, keys: list[str]) -> DataFrame:
         return pd.DataFrame([[*(pdf[c].iloc[0] for c in keys), "".join(out).replace("*", "")]], columns=[*keys, "seq"])
 
     fields = ", ".join(f"{c} {t}" for c, t in subreads.dtypes if c in keys)
-    return subreads.groupBy(*keys).applyInPandas(run, f"{fields}, seq string")
+    return spread(subreads, *keys).groupBy(*keys).applyInPandas(run, f"{fields}, seq string")
 
 
 def align_to_reference(query: Column, ref: Column) -> Column:

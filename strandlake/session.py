@@ -66,6 +66,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` to a set number of partitions, for work that takes long for each row: adaptive execution merges others by their bytes, to one task for many rows of little text."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written to the folder all executors share and read from there, so that a lost executor repeats no earlier step."""
     context = df.sparkSession.sparkContext
