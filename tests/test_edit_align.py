@@ -172,3 +172,28 @@ def test_windows_give_slices_and_bases(spark):
     assert got == sorted((n, s, e, (contigs.get(n) or "")[max(s, 0) : max(e, 0)]) for n, s, e in spans)
     bases = windows.base_at(df, table, "ref_name", "end", "base", 64).where("ref_name = 'a'").collect()
     assert sorted((r.end, r.base) for r in bases) == sorted((e, contigs["a"][e] if e < 1000 else None) for n, _, e in spans if n == "a" and e < 1024)
+
+
+def test_slide_goes_past_all_matches():
+    """Few or many diagonals, bytes or wide symbols, up to the ends of both texts; a long match takes a few steps."""
+    rng = random.Random(12)
+    for alphabet in ("AC", "A\xff", "Aα"):
+        for _ in range(60):
+            query, ref = ("".join(rng.choice(alphabet) * rng.choice((1, 1, 9, 70)) for _ in range(rng.randrange(1, 9))) for _ in range(2))
+            pair = E._Pair(query, ref)
+            for size in (1, E.FEW + 9):
+                k = np.arange(size) - size // 2
+                i = np.array([rng.randrange(-1, len(query) + 1) for _ in k])
+                want = []
+                for x, d in zip(i.tolist(), k.tolist(), strict=True):
+                    while 0 <= x < len(query) and 0 <= x + d < len(ref) and query[x] == ref[x + d]:
+                        x += 1
+                    want.append(x)
+                kept = [n for n, (x, d) in enumerate(zip(i.tolist(), k.tolist(), strict=True)) if x + d >= 0]
+                assert [pair.slide(i, k)[n] for n in kept] == [want[n] for n in kept]
+
+
+def test_pieces_are_spread_over_tasks(spark):
+    """Little text takes long to align, so its tasks are not merged by their bytes."""
+    rows = spark.createDataFrame([(str(k), "ACGTACGT", "ACGAACGT") for k in range(400)], "name string, query string, ref string")
+    assert E.align_long(rows).rdd.getNumPartitions() > 1
