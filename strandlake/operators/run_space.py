@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import sequences as S
-from ..session import ship
+from ..session import ship, spread
 from . import edit_align
 from .windows import WIDTH, slices
 
@@ -64,6 +64,13 @@ def run_symbols(seq: Column) -> Column:
     return F.array_join(F.transform(S.homopolymer_runs(seq), lambda run: F.substr(run, F.lit(1), F.lit(1))), "")
 
 
+def runs_of(seq: str) -> tuple[str, np.ndarray]:
+    """The sequence with one symbol a run, and where each run begins."""
+    x = np.frombuffer(seq.encode("utf-32-le", "surrogatepass"), np.uint32)
+    starts = np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]]))
+    return x[starts].tobytes().decode("utf-32-le", "surrogatepass"), starts
+
+
 def realigned(query: str, ref: str, chunk: int = CHUNK) -> tuple[int, str]:
     """Edits and CIGAR from end to end: the fewest, and of sequences longer than ``chunk`` the fewest in each chunk of a chain."""
     if max(len(query), len(ref)) <= chunk:
@@ -87,33 +94,37 @@ def compress_alignments(reads: DataFrame, windows: DataFrame, width: int = WIDTH
     """
     ship(reads.sparkSession)
 
-    @F.pandas_udf("edits int, cigar string")
-    def realign(queries: pd.Series, refs: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([realigned(q, r) for q, r in zip(queries, refs, strict=True)], columns=["edits", "cigar"])
+    @F.pandas_udf("symbols string, query_runs array<int>, ref_runs array<int>, q0 int, q1 int, edits int, cigar string")
+    def realign(queries: pd.Series, firsts: pd.Series, ends: pd.Series, refs: pd.Series) -> pd.DataFrame:
+        """Each text is cut to its runs once; the runs of the read from q0 to before q1 are the ones that are aligned."""
+        out = []
+        for query, first, end, ref in zip(queries, firsts, ends, refs, strict=True):
+            (symbols, starts), (ref_symbols, ref_starts) = runs_of(query), runs_of(ref)
+            q0, q1 = (int(k) for k in np.searchsorted(starts, [first, end - 1], side="right") - [1, 0])
+            out.append((symbols, np.diff(starts, append=len(query)), np.diff(ref_starts, append=len(ref)), q0, q1, *realigned(symbols[q0:q1], ref_symbols)))
+        return pd.DataFrame(out, columns=["symbols", "query_runs", "ref_runs", "q0", "q1", "edits", "cigar"])
 
     clip = lambda pattern: F.coalesce(F.nullif(F.regexp_extract("cigar", pattern, 1), F.lit("")).cast("int"), F.lit(0))
     mapped = reads.where(F.col("flag").bitwiseAND(4 | 256) == 0).select("qname", "ref_name", "flag", F.col("pos").cast("long").alias("base_pos"), "seq", "cigar")
     cut = mapped.withColumns({"_from": clip(r"^(?:\d+H)?(\d+)S"), "_to": F.length("seq") - clip(r"(\d+)S(?:\d+H)?$"), "base_end": S.reference_end(F.col("base_pos"), F.col("cigar"))})
     cut = cut.where((F.col("_to") > F.col("_from")) & (F.col("base_end") > F.col("base_pos")))
-    placed = slices(cut, windows, "ref_name", "base_pos", "base_end", "_ref", width)
-    placed = placed.where(F.col("_ref") != "").withColumn("_q0", S.run_of(F.col("_from"), F.col("seq"))).withColumn("_q1", S.run_of(F.col("_to") - 1, F.col("seq")) + 1)
-    short = placed.withColumns({"_symbols": run_symbols(F.col("seq")), "query_runs": run_lengths(F.col("seq")), "ref_runs": run_lengths(F.col("_ref"))})
-    core = F.substr("_symbols", F.col("_q0") + 1, F.col("_q1") - F.col("_q0"))
-    made = short.withColumn("_a", realign(core, run_symbols(F.col("_ref"))))
+    placed = slices(cut, windows, "ref_name", "base_pos", "base_end", "_ref", width).where(F.col("_ref") != "")
+    # Little text takes long to align, so its tasks are not merged by their bytes.
+    made = spread(placed, "qname", "ref_name", "base_pos").withColumn("_a", realign(F.col("seq"), F.col("_from"), F.col("_to"), F.col("_ref")))
     ends = lambda n: F.when(n > 0, F.concat(n.cast("string"), F.lit("S"))).otherwise("")
-    text = F.concat(ends(F.col("_q0")), F.col("_a.cigar"), ends(F.length("_symbols") - F.col("_q1")))
+    text = F.concat(ends(F.col("_a.q0")), F.col("_a.cigar"), ends(F.length("_a.symbols") - F.col("_a.q1")))
     numbered = run_at(made.withColumn("_cigar", text), counted(windows), "base_pos", "_pos", width)
     return numbered.select(
         "qname",
         "ref_name",
         "flag",
         F.col("_pos").alias("pos"),
-        (F.col("_pos") + F.size("ref_runs")).alias("end"),
-        F.col("_symbols").alias("seq"),
+        (F.col("_pos") + F.size("_a.ref_runs")).alias("end"),
+        F.col("_a.symbols").alias("seq"),
         F.col("_cigar").alias("cigar"),
         F.col("_a.edits").alias("edits"),
-        "query_runs",
-        "ref_runs",
+        F.col("_a.query_runs").alias("query_runs"),
+        F.col("_a.ref_runs").alias("ref_runs"),
         "base_pos",
     )
 
@@ -133,7 +144,12 @@ def expanded(cigar: str, query_runs: np.ndarray, ref_runs: np.ndarray) -> str:
     both = on_read & on_ref
     shared = np.where(both, np.minimum(read, ref), read + ref)
     surplus, kind = np.where(both, np.abs(read - ref), 0), np.where(read > ref, _SYMBOLS.index("I"), _SYMBOLS.index("D"))
-    return edit_align.cigar(edit_align.joined([(int(n), _SYMBOLS[op]) for n, op in zip(np.ravel([shared, surplus], "F"), np.ravel([ops, kind], "F"), strict=True)]))
+    sizes, kinds = np.ravel([shared, surplus], "F"), np.ravel([ops, kind], "F")
+    sizes, kinds = sizes[sizes > 0], kinds[sizes > 0]
+    if not len(sizes):
+        return ""
+    begins = np.flatnonzero(np.concatenate([[True], kinds[1:] != kinds[:-1]]))
+    return "".join(f"{n}{_SYMBOLS[op]}" for n, op in zip(np.add.reduceat(sizes, begins).tolist(), kinds[begins].tolist(), strict=True))
 
 
 def expand_cigar(cigar: Column, query_runs: Column, ref_runs: Column) -> Column:

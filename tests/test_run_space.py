@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from strandlake.operators import run_space
@@ -113,3 +114,19 @@ def test_empty(spark):
     reads = spark.createDataFrame([("r", "a", 0, 0, "4M", "ACGT"), ("n", "a", 0, 0, "4S", "ACGT")], READS)
     assert run_space.compress_alignments(reads, windows).count() == 0
     assert run_space.expand_alignments(run_space.compress_alignments(reads.limit(0), windows)).count() == 0
+
+
+def test_runs_of_a_text():
+    for text in ("", "A", "AAB", "ABBBA", "\u00e9\u00e9A"):
+        symbols, starts = run_space.runs_of(text)
+        runs = [m.group() for m in re.finditer(r"(.)\1*", text)]
+        assert symbols == "".join(r[0] for r in runs) and np.diff(starts, append=len(text)).tolist() == [len(r) for r in runs]
+
+
+def test_reads_are_spread_over_tasks(spark):
+    """Little text takes long to align, so its tasks are not merged by their bytes; each text is cut to runs once, not by patterns for each use."""
+    reads = spark.createDataFrame([(f"r{k}", "c", 0, 0, "4M", "AACC") for k in range(300)], "qname string, ref_name string, flag int, pos long, cigar string, seq string")
+    windows = spark.createDataFrame([("c", 0, "AACCGGTT")], "ref_name string, bin long, window string")
+    got = run_space.compress_alignments(reads, windows)
+    assert {(r.seq, r.cigar, r.pos, r.end, tuple(r.query_runs)) for r in got.collect()} == {("AC", "2=", 0, 2, (2, 2))}
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
