@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequences import phred, phred_char
 from ..schema import CLASS_SYMBOLS
+from ..session import spread
 from . import intervals, islands
 
 
@@ -126,6 +127,12 @@ def _total(runs: Column) -> Column:
     return F.aggregate(runs, F.lit(0).cast("long"), lambda total, run: total + run["n"])
 
 
+def _last(runs: str) -> Column:
+    """struct<major, minor>: the last position."""
+    end = F.get(runs, F.size(runs) - 1)
+    return F.struct((end["major"] + end["n"] - 1).alias("major"), end["minor"].alias("minor"))
+
+
 def _even_cut(one: Column, two: Column) -> Column:
     """struct<major, minor>: where to cut chunks whose shared stretch has different columns, given as runs."""
     count = lambda runs, major: F.size(F.filter(runs, lambda run: (run["major"] <= major) & (major < run["major"] + run["n"])))
@@ -140,31 +147,31 @@ def trim_samples(samples: DataFrame) -> DataFrame:
     """Chunks (ref_name, sample_id, runs, ...; see ``with_runs``) that are not within what went before, with piece, start and stop.
 
     Of its columns a chunk keeps those from start to before stop (structs of major and minor, null where nothing is cut off); the rules are those of ``trim_chunks``.
-    A chunk is one row and its positions a few runs, so contigs are put in order without their columns.
+    A chunk is one row and its positions a few runs, so contigs are put in order without their columns. Deal ``samples`` by ref_name with ``spread``:
+    rows of runs shrink so much when shuffled that adaptive execution, which goes by bytes, would give a task more of them than it can sort in memory.
     """
-    end = F.element_at("runs", -1)
-    last = F.struct((end["major"] + end["n"] - 1).alias("major"), end["minor"].alias("minor"))
-    begin = F.struct(F.get("runs", F.lit(0))["major"].alias("major"), F.get("runs", F.lit(0))["minor"].alias("minor"))
-    # Chunks without columns go after the window: a condition on runs before it would be pushed into what makes them, and cells made anew for each place.
-    meta = samples.withColumns({"_first": begin, "_last": last, "_size": _total(F.col("runs"))})
-    order = W.partitionBy("ref_name").orderBy("_first", F.desc("_size"), "sample_id")
+    # Every column is held once for each row while contigs are put in order; what a window gives of other chunks is worked out from their runs afterwards.
+    order = W.partitionBy("ref_name").orderBy("_major", "_minor", F.desc("_size"), "sample_id")
     reach = F.max("_last").over(order.rowsBetween(W.unboundedPreceding, -1))
-    meta = meta.withColumn("_reach", reach).where((F.col("_size") > 0) & (F.col("_reach").isNull() | (F.col("_last") > F.col("_reach")))).drop("_reach", "_size")
-    order = W.partitionBy("ref_name").orderBy("_first", "sample_id")
-    following = F.lead(F.struct(F.col("_first").alias("first"), F.col("runs").alias("runs"))).over(order)
-    meta = meta.withColumn("_next", following).withColumn("_prev", F.lag("_last").over(order))
-    major, minor = F.col("_first.major"), F.col("_first.minor")
-    gap = F.col("_prev").isNull() | ~(
-        (F.col("_first") <= F.col("_prev")) | ((major == F.col("_prev.major") + 1) & (minor == 0)) | ((major == F.col("_prev.major")) & (minor == F.col("_prev.minor") + 1))
+    # Chunks without columns go after the window: a condition on runs before it would be pushed into what makes them, and cells made anew for each place.
+    first = F.get("runs", F.lit(0))
+    meta = samples.withColumns({"_major": first["major"], "_minor": first["minor"], "_last": _last("runs"), "_size": _total(F.col("runs"))})
+    meta = meta.withColumn("_reach", reach).where((F.col("_size") > 0) & (F.col("_reach").isNull() | (F.col("_last") > F.col("_reach")))).drop("_reach", "_size", "_last")
+    order = W.partitionBy("ref_name").orderBy("_major", "_minor", "sample_id")
+    meta = meta.withColumn("_next", F.lead("runs").over(order)).withColumn("_prev", F.lag("runs").over(order))
+    begin, after = (F.struct(F.get(c, F.lit(0))["major"].alias("major"), F.get(c, F.lit(0))["minor"].alias("minor")) for c in ("runs", "_next"))
+    prev, last = F.when(F.col("_prev").isNotNull(), _last("_prev")), _last("runs")
+    gap = prev.isNull() | ~(
+        (begin <= prev) | ((begin["major"] == prev["major"] + 1) & (begin["minor"] == 0)) | ((begin["major"] == prev["major"]) & (begin["minor"] == prev["minor"] + 1))
     )
-    meta = islands.islands(meta.withColumn("_gap", gap), ["ref_name"], ["_first", "sample_id"], F.col("_gap"), "piece").drop("_gap", "_prev")
+    meta = islands.islands(meta.withColumn("_gap", gap), ["ref_name"], ["_major", "_minor", "sample_id"], F.col("_gap"), "piece").drop("_gap", "_prev")
     # What a chunk and the next one have where they overlap, side by side.
-    shared = lambda runs: F.when(F.col("_next.first") <= F.col("_last"), clip_runs(runs, F.col("_next.first"), F.col("_last"), inclusive=True))
-    meta = meta.withColumns({"_one": shared(F.col("runs")), "_two": shared(F.col("_next.runs"))})
+    shared = lambda runs: F.when(F.col("_next").isNotNull() & (after <= last), clip_runs(runs, after, last, inclusive=True))
+    meta = meta.withColumns({"_one": shared(F.col("runs")), "_two": shared(F.col("_next"))})
     middle = _nth(F.col("_one"), F.floor(_total(F.col("_one")) / 2))
     cut = F.when(F.col("_one").isNotNull(), F.when(F.col("_one") == F.col("_two"), middle).otherwise(_even_cut(F.col("_one"), F.col("_two"))))
     meta = meta.withColumn("stop", cut).withColumn("start", F.lag("stop").over(order))
-    return meta.drop("_first", "_last", "_next", "_one", "_two")
+    return meta.drop("_major", "_minor", "_next", "_one", "_two")
 
 
 def trim_chunks(columns: DataFrame) -> DataFrame:
@@ -174,7 +181,7 @@ def trim_chunks(columns: DataFrame) -> DataFrame:
     middle; with different ones, at the major position nearest the middle at which both have equally many columns, or, if
     there is none, the later chunk takes over from the middle.
     """
-    bounds = trim_samples(with_runs(positions_packed(columns)).drop("cells")).drop("runs")
+    bounds = trim_samples(spread(with_runs(positions_packed(columns)).drop("cells"), "ref_name")).drop("runs")
     here = F.struct("major", "minor")
     kept = columns.join(bounds, ["ref_name", "sample_id"])
     kept = kept.where((F.col("start").isNull() | (here >= F.col("start"))) & (F.col("stop").isNull() | (here < F.col("stop"))))
@@ -202,7 +209,7 @@ def stitch_samples(samples: DataFrame, filtered: bool = False) -> DataFrame:
     text = lambda of: F.array_join(F.transform("cells", of), "")
     quality = lambda c: F.when(c["symbol"] == "*", " ").otherwise(c["qual_char"])
     rows = rows.withColumns({"symbols": text(lambda c: c["symbol"]), "quals": text(quality)}).drop("cells")
-    trimmed = trim_samples(rows)
+    trimmed = trim_samples(spread(rows, "ref_name"))
     first = F.transform("own", lambda run, i: F.struct(run.alias("run"), _total(F.slice("own", F.lit(1), i)).alias("at")))
 
     def part(x: Column) -> Column:

@@ -96,3 +96,21 @@ def test_equal_intervals_after_a_gap(spark):
     rows = [(1, s, e) for s, e in [(223, 293), (232, 269), (259, 317), (308, 333), (322, 369), (397, 449), (397, 449)]]
     got = intervals.merge(spark.createDataFrame(rows, "ref_name long, start long, end long"), ["ref_name"]).collect()
     assert sorted((r.start, r.end, r.n) for r in got) == [(223, 369, 5), (397, 449, 2)]
+
+
+def test_chunks_are_dealt_to_a_set_number_of_tasks(spark):
+    """Adaptive execution would merge tasks by shuffled bytes, which for runs are a small part of what a task sorts (it spilled on orders 60 times sf0.1)."""
+    from strandlake.plans.queries import QUERIES
+
+    for name in ("con3_stitch_chunks", "stm2_trim_chunks"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism, name
+
+
+def test_chunks_without_columns_and_of_one_beginning(spark):
+    """A chunk without columns is left out; of two that begin together, each reaching further or having more columns, the smaller name comes first."""
+    chunks = {"none": [], "b": [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (3, 0)], "a": [(0, 0), (1, 0), (2, 0), (3, 0), (4, 0)], "c": [(4, 0), (5, 0)]}
+    rows = [("r", name, [(m, i) for m, i in places]) for name, places in chunks.items()]
+    samples = consensus.with_runs(spark.createDataFrame(rows, "ref_name string, sample_id string, cells array<struct<major: long, minor: long>>"))
+    kept = samples.transform(consensus.trim_samples).withColumn("runs", consensus.clip_runs(F.col("runs"), F.col("start"), F.col("stop")))
+    got = {r.sample_id: [(x.major + k, x.minor) for x in r.runs for k in range(x.n)] for r in kept.collect()}
+    assert got == trimmed({name: places for name, places in chunks.items() if places})
